@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import op4_mixing
 from .packing import op5_packing
+from .quality import op3_quality
 from .token_store import op6_token_store
 from .warc import SQL9, op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality": op3_quality,
         "op4_mixing": op4_mixing,
         "op5_packing": op5_packing,
         "op6_token_store": op6_token_store,
