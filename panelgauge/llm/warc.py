@@ -66,14 +66,18 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     payloads = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
     headers = spark.read.schema("page_id long, header binary, digest string").parquet(f"{path}/headers")
     joined = headers.withColumn("head", F.decode("header", "UTF-8")).withColumn("named", F.regexp_extract("head", r"(?m)^WARC-Payload-Digest: sha256:([0-9a-f]{64})", 1))
+    # verified and measured once per stored payload; a query that needs no bytes does not move them
     sound = payloads.where(F.when(F.sha2("payload", 256) == F.col("digest"), True).otherwise(F.raise_error(F.concat(F.lit("payload does not match digest "), F.col("digest")))))
-    full = joined.join(sound.withColumnRenamed("digest", "named"), "named", "left").withColumn("payload", F.when(F.col("payload").isNotNull(), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("no payload for digest "), F.col("named"))).cast("binary")))
+    sound = sound.select(F.col("digest").alias("named"), "payload", F.octet_length("payload").cast("long").alias("payload_bytes"))
+    missing = F.raise_error(F.concat(F.lit("no payload for digest "), F.col("named"))).cast("long")
+    full = joined.join(sound, "named", "left").withColumn("payload_bytes", F.when(F.col("payload_bytes").isNotNull(), F.col("payload_bytes")).otherwise(missing))
     kind = _field("WARC-Type")
     body = F.when(kind == "revisit", F.lit(b"")).otherwise(F.col("payload"))
     return full.select(
         "page_id",
         "header",
         "payload",
+        "payload_bytes",
         F.concat("header", body, F.lit(f"{CRLF}{CRLF}".encode())).alias("record"),
         F.col("named").alias("payload_digest"),
         kind.alias("record_type"),
@@ -88,7 +92,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = read_archive(spark, path)
     return back.select(
         "page_id",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        "payload_bytes",
         "payload_digest",
         "record_type",
         F.when(F.col("refers") != "", F.col("refers").cast("long")).alias("refers_to"),
