@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_dedup import op8_embedding_dedup
 from .mixing import op4_mixing
 from .packing import op5_packing
 from .quality import op3_quality
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op5_packing": op5_packing,
         "op6_token_store": op6_token_store,
+        "op8_embedding_dedup": op8_embedding_dedup,
         "op9_warc": op9_warc,
     }
 
