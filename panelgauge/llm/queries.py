@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .embedding_dedup import op8_embedding_dedup
+from .jaccard_join import op2_jaccard_join
 from .mixing import op4_mixing
 from .packing import op5_packing
 from .quality import op3_quality
@@ -16,6 +17,7 @@ from .warc import SQL9, op9_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_jaccard_join": op2_jaccard_join,
         "op3_quality": op3_quality,
         "op4_mixing": op4_mixing,
         "op5_packing": op5_packing,
