@@ -11,12 +11,14 @@ from .jaccard_join import op2_jaccard_join
 from .mixing import op4_mixing
 from .packing import op5_packing
 from .quality import op3_quality
+from .suffix_dedup import op1_suffix_dedup
 from .token_store import op6_token_store
 from .warc import SQL9, op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_jaccard_join": op2_jaccard_join,
         "op3_quality": op3_quality,
         "op4_mixing": op4_mixing,
