@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .embedding_dedup import op8_embedding_dedup
 from .jaccard_join import op2_jaccard_join
+from .line_dedup import SQL10, op10_line_dedup
 from .mixing import op4_mixing
 from .packing import op5_packing
 from .quality import op3_quality
@@ -26,8 +27,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_store": op6_token_store,
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_warc": op9_warc,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": SQL9}
+    return {"op9_warc": SQL9, "op10_line_dedup": SQL10}
