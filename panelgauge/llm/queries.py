@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .embedding_dedup import op8_embedding_dedup
+from .html_extract import op7_html_extract
 from .jaccard_join import op2_jaccard_join
 from .line_dedup import SQL10, op10_line_dedup
 from .mixing import op4_mixing
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op5_packing": op5_packing,
         "op6_token_store": op6_token_store,
+        "op7_html_extract": op7_html_extract,
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_warc": op9_warc,
         "op10_line_dedup": op10_line_dedup,
