@@ -1,10 +1,59 @@
-"""Corpus pipeline: quality rules, line dedup, near-duplicate join, mixing, packing."""
+"""Corpus pipeline: quality rules, line dedup, near-duplicate join, mixing to target weights, packing.
+
+Each stage takes (spark, docs, sf_dir); ``run`` writes every stage's result as
+Parquet in the shared folder and reads it as the next one's docs.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelgauge.llm.common import write_cut
+from panelgauge.llm.jaccard_join import drop_near_duplicates
+from panelgauge.llm.line_dedup import drop_repeated_lines
+from panelgauge.llm.mixing import mix_sources
+from panelgauge.llm.packing import pack
+from panelgauge.llm.quality import filter_documents
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return filter_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs go from the texts; n_chars follows the text."""
+    return drop_repeated_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays: five words, similarity 0.8 or more."""
+    return drop_near_duplicates(docs, 5, 80)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: whole copies, at most two; the document at a boundary is rounded."""
+    got, _, _ = mix_sources(docs, F.array("source"), keep=tuple(c for c in docs.columns if c != "doc_id"))
+    copies = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
+    repeated = got.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies)))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document in sequences of at most 2048 tokens."""
+    return pack(docs)
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("n-gram Jaccard join", near_duplicates), ("source mixing", source_mixing), ("packing", packing)]
+
+#: The log-likelihood ratio and the tokenizer have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all packed documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = write_cut(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return docs
