@@ -8,9 +8,11 @@ candidate pair must share a prefix token under every one of them.
 
 1. A fixed-size sketch counts shingles over all documents (bounded, broadcast)
    and gives each token a rarity level; levels only shape the orders, never the result.
-2. Prefix tokens of the first order: token -> least document. Documents that share
-   one are chained to that least document (a star, linear in the tokens), and the
-   connected components of the stars hold every linked pair inside one component.
+2. Prefix tokens of the first order, with tokens of one document dropped. Documents
+   that share a token are compared by the histograms of their sets: the L1 distance
+   of two histograms never exceeds the symmetric difference, so a pair whose distance
+   is too large for a link is none. A run of documents leaves a spanning forest of
+   what is left, never its pairs; the components hold every linked pair inside one.
 3. Within a component, documents with equal sets are collapsed to the least one.
    Components above ``block`` sets are split into blocks, one task group for each
    pair of blocks. A group intersects the candidates of all orders through inverted
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, gram_hashes, mix, word_hashes, write_cut
@@ -40,6 +42,7 @@ from .common import connected_components, gram_hashes, mix, word_hashes, write_c
 SKETCH_LOG2 = 20
 SEGMENTS = 64
 ORDERS = 3
+_edges = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -102,7 +105,8 @@ def rarity_levels(texts: DataFrame, k: int) -> np.ndarray:
     return np.clip(np.ceil(np.log2(np.maximum(counts, 1) / base)) * 2, 0, 31).astype(np.uint8)
 
 
-_doc_ddl = "row_id long, doc_id long, text_hash long, n long, fp1 long, fp2 long, tokens array<long>"
+HIST = 64
+_doc_ddl = "row_id long, doc_id long, text_hash long, n long, fp1 long, fp2 long, tokens array<long>, hist binary"
 
 
 def _documents(levels: np.ndarray, k: int, percent: int):
@@ -110,7 +114,7 @@ def _documents(levels: np.ndarray, k: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ns, f1, f2, toks = [], [], [], []
+            ns, f1, f2, toks, hists = [], [], [], [], []
             for t in b.column(3).to_pylist():
                 s = shingles(t, k)
                 ns.append(len(s))
@@ -118,9 +122,77 @@ def _documents(levels: np.ndarray, k: int, percent: int):
                     f1.append(int(mix(s, 77).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                     f2.append(int(mix(s, 78).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 toks.append(prefix(order_keys(s, levels, 0), percent).view(np.int64))
+                hists.append(np.minimum(np.bincount((s % np.uint64(HIST)).astype(np.int64), minlength=HIST), 65535).astype("<u2").tobytes())
             ends = np.cumsum([0, *map(len, toks)]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(toks) if toks else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *[pa.array(x, pa.int64()) for x in (ns, f1, f2)], tokens], names=["row_id", "doc_id", "text_hash", "n", "fp1", "fp2", "tokens"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *[pa.array(x, pa.int64()) for x in (ns, f1, f2)], tokens, pa.array(hists, pa.binary())], names=["row_id", "doc_id", "text_hash", "n", "fp1", "fp2", "tokens", "hist"])
+
+    return run
+
+
+def near_forest(n: np.ndarray, hist: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose histograms leave a link possible.
+
+    What the middle row reaches is one tree; every other row is compared with all rows.
+    """
+    label = np.arange(len(n))
+    out = []
+
+    def near(i: int) -> np.ndarray:
+        away = np.abs(hist - hist[i]).sum(1)
+        return np.flatnonzero(away * (100 + percent) <= (n + n[i]) * (100 - percent))
+
+    def join(i: int) -> None:
+        for j in near(i):
+            if label[j] != label[i]:
+                out.append((i, int(j)))
+                label[label == label[j]] = label[i]
+
+    middle = int(np.argsort(n, kind="stable")[len(n) // 2])
+    tree = near(middle)
+    tree = tree[tree != middle]
+    out += [(middle, int(j)) for j in tree]
+    label[tree] = label[middle]
+    for i in np.flatnonzero(label != label[middle]):
+        join(int(i))
+    return out
+
+
+def _forests(percent: int):
+    """Rows sorted by token: the forest of each run of rows of one token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        u, v, seen = [], [], set()
+
+        def close() -> None:
+            if len(held) > 1:
+                n = np.array([h[1] for h in held], np.int64)
+                hist = np.frombuffer(b"".join(h[2] for h in held), "<u2").reshape(len(held), HIST).astype(np.int32)
+                for a, b in near_forest(n, hist, percent):
+                    x, y = held[a][0], held[b][0]
+                    e = (x, y) if x > y else (y, x)
+                    if e not in seen:
+                        seen.add(e)
+                        u.append(e[0])
+                        v.append(e[1])
+            held.clear()
+
+        token = None
+        for b in batches:
+            for t, r, n, h in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
+                if t != token:
+                    close()
+                    token = t
+                held.append((r, n, h))
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=_edges)
+                u.clear(), v.clear()
+            if len(seen) > 500_000:
+                seen.clear()
+        close()
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=_edges)
 
     return run
 
@@ -191,9 +263,6 @@ def linked_pairs(sets: list[np.ndarray], percent: int, levels: np.ndarray, left:
     return out
 
 
-_edges = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
-
 def _verify(k: int, percent: int, levels: np.ndarray):
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("class", "ascending"), ("i", "ascending"), ("j", "ascending"), ("rep", "ascending")])
@@ -226,13 +295,15 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     found = base.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text_hash", "text").mapInArrow(_documents(levels, k, percent), _doc_ddl)
     found = write_cut(found, "prefix")
     reps = found.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("row_id").alias("rep"))
-    rows = write_cut(found.drop("tokens").join(reps, ["fp1", "fp2", "n"], "left").select("row_id", "doc_id", "text_hash", "n", "rep"), "rows")
+    rows = write_cut(found.drop("tokens", "hist").join(reps, ["fp1", "fp2", "n"], "left").select("row_id", "doc_id", "text_hash", "n", "rep"), "rows")
     firsts = rows.where("row_id = rep")
-    tokens = found.join(firsts.select("row_id"), "row_id", "left_semi").select("row_id", F.explode("tokens").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("row_id").alias("v"), F.max("row_id").alias("w")).where("v <> w").select("token", "v")
-    stars = tokens.join(shared, "token").where("row_id <> v").select(F.col("row_id").alias("u"), "v").distinct()
-    rough = write_cut(connected_components(stars, "rough-cc").select(F.col("node").alias("rep"), F.col("component").alias("class")), "rough")
-    crowd = rough.groupBy("class").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
+    each = Window.partitionBy("token")
+    shared = found.select(F.explode("tokens").alias("token"), "row_id").withColumn("alone", F.min("row_id").over(each) == F.max("row_id").over(each)).where("NOT alone").select("token", "row_id")
+    compared = shared.join(found.select("row_id", "n", "hist"), "row_id").select("token", "row_id", "n", "hist")
+    forests = compared.repartition("token").sortWithinPartitions("token", "row_id").mapInArrow(_forests(percent), "u long, v long")
+    rough = write_cut(connected_components(forests, "rough-cc").select(F.col("node").alias("rep"), F.col("component").alias("class")), "rough")
+    rough = rough.join(firsts.select("rep"), "rep", "left_semi")
+    crowd = rough.groupBy("class").agg(F.count("*").alias("m")).where("m > 1").select("class", F.ceil(F.col("m") / block).cast("int").alias("nb"))
     placed = rough.join(crowd, "class").join(firsts.select("rep", "doc_id", "text_hash"), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     texts = base.join(placed, base.doc_id.eqNullSafe(placed.doc_id) & (base.text_hash == placed.text_hash)).select("rep", "class", "nb", "own", "text")
     pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j"), (x < F.col("own")).cast("int").alias("side")))
