@@ -1,7 +1,122 @@
-"""Queries of the fitting, simulation and report operators (rows-only checks)."""
+"""Queries of the fitting, simulation and resampling operators (rows-only checks; tests hold them against dense oracles)."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from .. import spec as S
+from ..operators import discrete, fit, resampling, simulate
+from ..sources import panels as P
+
+AXES = ["p_brand", "l_returnflag", "l_linestatus"]
+
+
+def reml_fit(spark, d):
+    f = fit.fit_gaussian(P.price_panel(spark, d), formula="price ~ p_brand * l_returnflag * l_linestatus")
+    return f.table(spark)
+
+
+def ml_fit_joint(spark, d):
+    f = fit.fit_gaussian(P.price_panel(spark, d), formula="cbind(price, quantity) ~ p_brand * l_returnflag * l_linestatus", estimator="ML")
+    return f.table(spark)
+
+
+def reliability_intervals(spark, d):
+    f = fit.fit_gaussian(P.price_panel(spark, d), formula="price ~ p_brand * l_returnflag * l_linestatus")
+    rows = []
+    for a in (1, 2, 3):
+        for b in (1, 2):
+            g, se = fit.coefficient(f, {"l_returnflag": a, "l_linestatus": b})
+            rows.append((a, b, g, se))
+    from ..operators.reliability import logit_interval
+
+    t = spark.createDataFrame(rows, "l_returnflag int, l_linestatus int, Erho2 double, Erho2_se double")
+    lo, hi = logit_interval(F.col("Erho2"), F.col("Erho2_se"))
+    return t.withColumns({"Erho2_lower": lo, "Erho2_upper": hi})
+
+
+def observed_row_fit(spark, d):
+    rows = P.event_panel(spark, d).orderBy("user_id", "event_type").limit(200).collect()  # the engine's row limit is 1000
+    design = S.design("user_id", ["event_type"]).resolve("gaussian")
+    at, dev = fit.fit_observed([(r["user_id"], r["event_type"]) for r in rows], [r["value"] for r in rows], design)
+    return spark.createDataFrame([(s, v, dev) for s, v in at.items()], "source string, component double, deviance double")
+
+
+DESIGN = S.design("item", ["rater"], full_cell=False)
+LEVELS = {"item": 18, "rater": 6}
+
+
+def _latent(spark, seed=5):
+    return simulate.gaussian_panel(spark, S.design("item", ["rater"]).resolve("gaussian"), LEVELS, {"item": 1.5, "rater": 0.2}, seed=seed)
+
+
+def _laplace(spark, thresholds, labels, family):
+    panel = simulate.ordinal_panel(_latent(spark), thresholds, labels, 5, ["item", "rater"])
+    levels, rows = discrete.collapse(panel, DESIGN, "label", family)
+    f = discrete.fit_laplace(rows, DESIGN, "label", family, levels)
+    return spark.createDataFrame([(s, v, f.nll, f.accepted) for s, v in f.variances.items()], "source string, variance double, nll double, accepted boolean")
+
+
+def laplace_fit_binary(spark, d):
+    return _laplace(spark, [0.0], ["no", "yes"], S.Family("binary", "logit", ("no", "yes")))
+
+
+def laplace_fit_ordinal(spark, d):
+    return _laplace(spark, [-0.7, 0.6], ["low", "mid", "high"], S.Family("ordinal", "logit", ("low", "mid", "high")))
+
+
+def laplace_fit_nominal(spark, d):
+    return _laplace(spark, [-0.7, 0.6], ["a", "b", "c"], S.Family("categorical", None, ("a", "b", "c")))
+
+
+def simulate_panel(spark, d):
+    design = S.design("item", ["rater", "occasion"]).resolve("gaussian")
+    return simulate.gaussian_panel(spark, design, {"item": 24, "rater": 4, "occasion": 2}, {"item": 2.0, "rater": 0.4, "occasion": 0.2, "item:rater": 1.2, "item:occasion": 0.1, "rater:occasion": 0.3, "Residual": 0.6}, seed=3)
+
+
+def categorical_target(spark, d):
+    return simulate.decision_target(spark, DESIGN, {"item": 50, "rater": 5}, {"item": 1.5, "rater": 0.2}, [-0.7, 0.6], ["low", "mid", "high"], 10, 4)
+
+
+def _moments_of(pdf, keys):
+    """Moment components and G of one complete resampled panel (item x rater)."""
+    import pandas as pd
+
+    y = pdf.pivot(index="item", columns="rater", values="y").to_numpy()
+    n, m = y.shape
+    a, b, g = y.mean(1), y.mean(0), y.mean()
+    res = y - a[:, None] - b[None, :] + g
+    mr = (res**2).sum() / ((n - 1) * (m - 1))
+    vi, vr = (m * ((a - g) ** 2).sum() / (n - 1) - mr) / m, (n * ((b - g) ** 2).sum() / (m - 1) - mr) / n
+    u = max(vi, 0.0)
+    return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "item_variance": [vi], "rater_variance": [vr], "residual": [mr], "Erho2": [u / (u + mr / m) if u + mr / m > 0 else None]})
+
+
+def _bootstrap(spark):
+    panel = simulate.gaussian_panel(spark, S.design("item", ["rater"]).resolve("gaussian"), {"item": 40, "rater": 5}, {"item": 1.5, "rater": 0.3, "Residual": 0.8}, seed=9)
+    rows = resampling.resample(panel, resampling.draws(panel, "item", 100, 17), "item")
+    return rows.groupBy("attempt").applyInPandas(lambda p: _moments_of(p, ["attempt"]), "attempt long, item_variance double, rater_variance double, residual double, Erho2 double")
+
+
+def bootstrap_fit(spark, d):
+    long = _bootstrap(spark).unpivot(["attempt"], ["item_variance", "rater_variance", "residual", "Erho2"], "component", "value")
+    return resampling.intervals(long, ["component"], "value")
+
+
+def pilot_plan(spark, d):
+    by = spark.range(1, 41).select(((F.col("id") - 1) % 2 + 1).alias("design_id"), F.col("id").alias("replicate"))
+    design = S.design("item", ["rater"]).resolve("gaussian")
+    panel = simulate.gaussian_panel(spark, design, {"item": 30, "rater": 4}, {"item": 1.5, "rater": 0.3, "Residual": 0.8}, seed=2, by=by)
+    fits = panel.groupBy("design_id", "replicate").applyInPandas(lambda p: _moments_of(p, ["design_id", "replicate"]), "design_id long, replicate long, item_variance double, rater_variance double, residual double, Erho2 double")
+    ok = F.col("item_variance") > 0
+    rec = fits.select("design_id", F.when(ok, "accepted").otherwise("numerically_refused").alias("status"), ok.alias("accepted"), ok.alias("interval_available"), F.abs(F.col("Erho2") - 0.88).alias("width"))
+    return resampling.pilot_summary(rec, 0.1)
+
+
+def laplace_check(spark, d):
+    w = spark.range(5000).select((-0.5 * F.pow(F.randn(3), 2)).alias("log_weight"))
+    return discrete.importance_check(w)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in (reml_fit, ml_fit_joint, reliability_intervals, observed_row_fit, laplace_fit_binary, laplace_fit_ordinal, laplace_fit_nominal, simulate_panel, categorical_target, bootstrap_fit, pilot_plan, laplace_check)}
