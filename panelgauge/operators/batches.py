@@ -8,18 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import CALL, RESIDUAL, Design
+from .ranking import ordered_place
 
 
 def inferred(panel: DataFrame, object: str, order: str, size: int) -> DataFrame:
-    """item, batch, position from the rank of each item's order value.
-
-    The number of items is the width of one global rank: positions come from range
-    partitions in order, so no window holds all items in one task.
-    """
-    items = panel.groupBy(F.col(object).alias("item")).agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    rank = F.count("*").over(Window.partitionBy(F.lit(1)).orderBy("lo", "item").rowsBetween(Window.unboundedPreceding, 0)) - 1
-    placed = items.withColumn("rank", rank)
-    return placed.select("item", (F.floor(F.col("rank") / size) + 1).cast("long").alias("batch"), (F.col("rank") % size + 1).cast("long").alias("position"))
+    """item, batch, position from the rank of each item's order value; ranks come slice by slice, never from one window over all items."""
+    items = panel.groupBy(F.col(object).alias("item")).agg(F.min(order).alias("lo"))
+    rank = F.col("place") - 1
+    return ordered_place(items, "lo", "item").select("item", (F.floor(rank / size) + 1).cast("long").alias("batch"), (rank % size + 1).cast("long").alias("position"))
 
 
 def inferred_problems(panel: DataFrame, object: str, order: str) -> DataFrame:

@@ -4,22 +4,23 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import quantile6
 from ..spec import SpecError
+from .ranking import hashed_place
 
 MINIMUM = 50
 
 
 def draws(panel: DataFrame, object: str, attempts: int, seed: int) -> DataFrame:
     """attempt, position, object: resampled objects. A draw depends on seed, attempt and position, not on row order."""
-    objects = panel.select(object).distinct().withColumn("__at", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(object)) - 1)
+    objects = hashed_place(panel.select(object).distinct(), [object]).withColumn("__at", F.col("place") - 1).drop("place")
     n = objects.count()
     spark = panel.sparkSession
     slots = spark.range(attempts * n).select((F.floor(F.col("id") / n) + 1).cast("long").alias("attempt"), (F.col("id") % n).cast("long").alias("position"))
-    slots = slots.withColumn("__at", F.pmod(F.xxhash64(F.lit(seed), "attempt", "position"), F.lit(n)).cast("int"))
+    slots = slots.withColumn("__at", F.pmod(F.xxhash64(F.lit(seed), "attempt", "position"), F.lit(n)))
     return slots.join(objects, "__at").drop("__at")
 
 
