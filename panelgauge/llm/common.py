@@ -46,6 +46,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Caches that workers keep between tasks. A worker serves many operators; one that needs the room empties the others' caches.
+WORKER_CACHES: list[dict] = []
+
+
+def release_caches() -> None:
+    for cache in WORKER_CACHES:
+        cache.clear()
+
+
 # ---------------------------------------------------------------- hashing
 
 _U = np.uint64
