@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import write_cut
-from .tokens import default_vocabulary, encoder
+from .tokens import CACHE_PARTS, default_vocabulary, encoder
 
 _out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("level", pa.int32()), ("ids", pa.binary())])
 _ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, level int, ids binary"
@@ -106,9 +106,9 @@ def _first_id(level: int) -> int:
     return (level << 56) | (TaskContext.get().partitionId() << 32)
 
 
-def _pack(vocabulary: str, end_id: int, size: int, open_windows: int):
+def _pack(vocabulary: str, end_id: int, size: int, open_windows: int, cache_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail = encoder(vocabulary), end_id.to_bytes(4, "little")
+        enc, tail = encoder(vocabulary, cache_parts), end_id.to_bytes(4, "little")
         w = Windows(size, open_windows, _first_id(0), 0)
         for b in batches:
             for doc, ids in zip(b.column(0).to_pylist(), enc.stream(b.column(1).to_pylist()), strict=True):
@@ -136,14 +136,14 @@ def _merge(size: int, open_windows: int, level: int, last: bool):
     return run
 
 
-def pack(docs: DataFrame, size: int = 2048, open_windows: int = 16, vocabulary: str | None = None, end_id: int = 1, fan_in: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, size: int = 2048, open_windows: int = 16, vocabulary: str | None = None, end_id: int = 1, fan_in: int = 64, cache_parts: int = CACHE_PARTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of every document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A task carries at most ``open_windows`` windows; a merge task reads at most
-    ``fan_in`` times as many.
+    ``fan_in`` times as many. ``cache_parts``: encoded words that a worker keeps (memory only).
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    stage = write_cut(base.mapInArrow(_pack(vocabulary or default_vocabulary(), end_id, size, open_windows), _ddl).withColumn("part", F.spark_partition_id()), "packed")
+    stage = write_cut(base.mapInArrow(_pack(vocabulary or default_vocabulary(), end_id, size, open_windows, cache_parts), _ddl).withColumn("part", F.spark_partition_id()), "packed")
     done = [stage.where("ids IS NULL")]
     rest = stage.where("ids IS NOT NULL")
     parts = (stage.agg(F.max("part")).first()[0] or 0) + 1

@@ -41,12 +41,10 @@ def cut_points(ids: np.ndarray) -> list[int]:
     if n <= MIN_IDS:
         return [n]
     with np.errstate(over="ignore"):
-        h = np.zeros(n, np.uint64)
-        factor = np.uint64(1)
-        x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        for back in range(WINDOW):
-            h[back:] += x[: n - back] * factor
-            factor = factor * _MULT
+        h, span, factor = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), 1, _MULT
+        while span < WINDOW:  # h[i] covers the last span ids; two neighbouring spans make one of twice the length
+            h[span:] = h[span:] + h[:-span] * factor
+            span, factor = 2 * span, factor * factor
     marks = np.flatnonzero((h >> np.uint64(40)) % np.uint64(MEAN_IDS) == 0) + 1
     out, start = [], 0
     for m in [*marks.tolist(), n]:
@@ -139,8 +137,8 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
 # ------------------------------------------------- reading
 
 
-def _checked(width: int):
-    out = pa.schema([("digest", pa.binary()), ("n", pa.int32()), ("crc", pa.int64()), ("ids", pa.binary())])
+def _checked(width: int, with_ids: bool):
+    out = pa.schema([("digest", pa.binary()), ("n", pa.int32()), ("crc", pa.int64()), *([("ids", pa.binary())] if with_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,15 +150,17 @@ def _checked(width: int):
                 ids = np.frombuffer(body, f"<u{width}").astype("<u4").tobytes()
                 crcs.append(zlib.crc32(ids))
                 counts.append(len(ids) // 4)
-                wide.append(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), pa.array(crcs, pa.int64()), pa.array(wide, pa.binary())], schema=out)
+                if with_ids:
+                    wide.append(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), pa.array(crcs, pa.int64()), *([pa.array(wide, pa.binary())] if with_ids else [])], schema=out)
 
     return run
 
 
-def read_chunks(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def read_chunks(spark: SparkSession, path: str, width: int = 2, with_ids: bool = True) -> DataFrame:
     """digest, n, crc and ids (little-endian uint32 bytes) of every stored chunk, verified against its address."""
-    return spark.read.schema("digest binary, n int, ids binary").parquet(f"{path}/chunks").mapInArrow(_checked(width), "digest binary, n int, crc long, ids binary")
+    stored = spark.read.schema("digest binary, n int, ids binary").parquet(f"{path}/chunks")
+    return stored.mapInArrow(_checked(width, with_ids), "digest binary, n int, crc long" + ", ids binary" * with_ids)
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -232,7 +232,7 @@ def _parts(spark: SparkSession, path: str, chunks: DataFrame, *extra: str) -> Da
 
 def verify_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the stored files; only checksums of the verified chunks are moved."""
-    chunks = read_chunks(spark, path, width).drop("ids")
+    chunks = read_chunks(spark, path, width, False)
     return _parts(spark, path, chunks, "crc").mapInArrow(_recipe_rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -15,15 +15,19 @@ import json
 import os
 import struct
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import WORKER_CACHES
 
 #: Distinct parts that a worker keeps; a full cache is emptied (memory only, results don't change).
 CACHE_PARTS = 1_000_000
 #: Characters that form tokens of their own class after a letter, and never change or join it.
 _MARKS = "!#$%&*+,-./:;=?@_~"
 _open: dict[str, "Encoder"] = {}
+WORKER_CACHES.append(_open)
 
 
 def default_vocabulary() -> str:
@@ -34,6 +38,7 @@ def default_vocabulary() -> str:
 
 class Encoder:
     def __init__(self, path: str):
+        self.most = CACHE_PARTS
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -52,9 +57,10 @@ class Encoder:
     def words(self, words: list[str]) -> list[bytes]:
         """The ids of words of letters only."""
         out: list[bytes] = []
-        for at in range(0, len(words), 1000):
-            some = words[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        runs = [words[at : at + 250] for at in range(0, len(words), 250)]
+        answers = self.tokenizer.encode_batch_fast([" ".join(some) for some in runs], add_special_tokens=False)
+        for some, answer in zip(runs, answers, strict=True):
+            ids = np.array(answer.ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(some) or (len(cuts) and cuts[-1] != len(ids)):
                 out += map(self.one, some)
@@ -65,47 +71,53 @@ class Encoder:
 
     def learn(self, missing: list[str]) -> None:
         known = self.parts
-        if len(known) + len(missing) > CACHE_PARTS:
-            known.clear()
-            known[""] = b""
+        plain = [p for p in missing if p.isalpha() and (p.islower() or not p.isascii())]
+        stems = dict.fromkeys(plain)
         cut: list[tuple[str, str, str]] = []
-        stems: dict[str, None] = {}
-        for part in missing:
-            stem = part.rstrip(_MARKS)
-            if stem.isalpha():
-                low = stem.lower() if stem.isascii() else stem
-                if low == part:
-                    stems[low] = None
+        if len(plain) < len(missing):
+            for part in missing:
+                if part in stems:
                     continue
-                tail = part[len(stem) :]
+                stem = part.rstrip(_MARKS)
+                if not stem.isalpha():
+                    known[part] = self.one(part)
+                    continue
+                low, tail = stem.lower() if stem.isascii() else stem, part[len(stem) :]
                 cut.append((part, low, tail))
                 if low not in known:
                     stems[low] = None
                 if tail not in known:
                     known[tail] = self.one(tail)
-            else:
-                known[part] = self.one(part)
         todo = list(stems)
         known.update(zip(todo, self.words(todo), strict=True))
         for part, low, tail in cut:
-            known[part] = known[low] + known[tail]
+            known[part] = known[low] + known[tail] if tail else known[low]
 
-    def batch(self, texts: Iterable[str | None]) -> list[bytes]:
+    def batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text as little-endian unsigned 32-bit integers; nothing for null."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        here = dict.fromkeys(chain.from_iterable(split))
+        lists = pc.split_pattern(pc.replace_substring(pa.array([t or "" for t in texts], pa.large_string()), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        words, at, bounds = coded.dictionary.to_pylist(), coded.indices.to_numpy(), lists.offsets.to_numpy()
         known = self.parts
-        missing = [p for p in here if p not in known]
-        if len(known) + len(missing) > CACHE_PARTS:
-            missing = list(here)
+        missing = [w for w in words if w not in known]
+        if len(known) + len(missing) > self.most:
+            known.clear()
+            known[""] = b""
+            missing = words
         if missing:
             self.learn(missing)
-        for p in here:
-            here[p] = known[p]
-        get = here.__getitem__
-        return [b"".join(map(get, parts)) for parts in split]
-
-    def stream(self, texts: Iterable[str | None], chars: int = 2_000_000) -> Iterator[bytes]:
+        parts = list(map(known.__getitem__, words))
+        # the ids of the distinct parts once, then a gather: word by word, each part's run of ids
+        once = np.frombuffer(b"".join(parts), "<u4")
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
+        first = np.cumsum(size) - size
+        n = size[at]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = once[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])]
+        cuts = ends[bounds].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def stream(self, texts: Iterable[str | None], chars: int = 3_000_000) -> Iterator[bytes]:
         """batch() over runs of texts of about so many characters."""
         some: list[str | None] = []
         size = 0
@@ -115,11 +127,13 @@ class Encoder:
             if size >= chars:
                 yield from self.batch(some)
                 some, size = [], 0
-        yield from self.batch(some)
+        if some:
+            yield from self.batch(some)
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and vocabulary."""
+def encoder(path: str, most: int = CACHE_PARTS) -> Encoder:
+    """One encoder per worker process and vocabulary; ``most``: parts to keep (memory only)."""
     if path not in _open:
         _open[path] = Encoder(path)
+    _open[path].most = most
     return _open[path]
