@@ -43,7 +43,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 # Words of class and id names that mark what is not the article.
 OUTSIDE_WORDS = frozenset(
-    "ad ads advert advertisement adsense banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies disclaimer discussion disqus "
+    "ad ads advert advertisement adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer discussion disqus "
     "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion recommended related "
     "replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
