@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, gram_hashes, mix, word_hashes, write_cut
+from .common import connected_components, gram_hashes, mix, release_caches, word_hashes, write_cut
 
 SKETCH_LOG2 = 20
 SEGMENTS = 64
@@ -67,6 +67,7 @@ def prefix(keys: np.ndarray, percent: int) -> np.ndarray:
 
 def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         counts = np.zeros(1 << SKETCH_LOG2, np.int64)
         held, n = [], 0
         shift = np.uint64(64 - SKETCH_LOG2)
@@ -86,34 +87,53 @@ def _sketch(k: int):
     return run
 
 
-def _sum_segment(group: pa.Table) -> pa.Table:
-    total = np.zeros((1 << SKETCH_LOG2) // SEGMENTS, np.int64)
-    for c in group.column("counts"):
-        total += np.frombuffer(c.as_py(), "<u4")
-    return pa.table({"segment": pa.array([group.column("segment")[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())})
+def _sum_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add up the segments of a partition as they stream by: memory of at most one sketch."""
+    totals: dict[int, np.ndarray] = {}
+    for b in batches:
+        for segment, counts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            part = np.frombuffer(counts.as_buffer(), "<u4")
+            if segment in totals:
+                totals[segment] += part
+            else:
+                totals[segment] = part.astype(np.int64)
+    if totals:
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([np.minimum(t, 2**32 - 1).astype("<u4").tobytes() for t in totals.values()], pa.binary())], names=["segment", "counts"])
 
 
 def rarity_levels(texts: DataFrame, k: int) -> np.ndarray:
     """A level (0 to 31) for each cell of the sketch: doublings above twice the mean load. The table has a fixed size."""
-    parts = texts.mapInArrow(_sketch(k), "segment int, counts binary")
-    rows = parts.groupBy("segment").applyInArrow(_sum_segment, "segment int, counts binary").collect()  # SEGMENTS rows, 4 MB in all
+    ddl = "segment int, counts binary"
+    parts = texts.mapInArrow(_sketch(k), ddl)
+    # two steps, so that no task reads the sketches of all others: about the square root of their number each
+    fan = max(1, round(parts.rdd.getNumPartitions() ** 0.5))
+    salted = parts.withColumn("salt", F.spark_partition_id() % fan)
+    some = salted.repartition(8 * fan, "segment", "salt").select("segment", "counts").mapInArrow(_sum_segments, ddl)
+    rows = some.repartition(8, "segment").mapInArrow(_sum_segments, ddl).collect()  # about SEGMENTS rows, 4 MB in all
     counts = np.zeros((SEGMENTS, (1 << SKETCH_LOG2) // SEGMENTS))
     for r in rows:
-        counts[r["segment"]] = np.frombuffer(r["counts"], "<u4")
+        counts[r["segment"]] += np.frombuffer(r["counts"], "<u4")
     counts = counts.ravel()
     base = counts.mean() + 4 * np.sqrt(counts.mean()) + 2
     return np.clip(np.ceil(np.log2(np.maximum(counts, 1) / base)) * 2, 0, 31).astype(np.uint8)
 
 
-HIST = 64
+HIST = 64  # least number of histogram bins; a set of n tokens has the power of two from n / 8 on
 _doc_ddl = "row_id long, doc_id long, text_hash long, n long, fp1 long, fp2 long, tokens array<long>, hist binary"
 
 
+def histogram(s: np.ndarray) -> bytes:
+    """Counts of the tokens by their low bits, at most 255 each; a longer one folds onto a shorter one by adding its halves."""
+    bins = max(HIST, 1 << max(0, (len(s) // 8 - 1).bit_length()))
+    return np.minimum(np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
+
+
 def _documents(levels: np.ndarray, k: int, percent: int):
     """Per document: size and fingerprint of its set, and its prefix tokens under the first order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        release_caches()
+        for b in (x.slice(i, 1000) for x in batches for i in range(0, x.num_rows, 1000)):
             ns, f1, f2, toks, hists = [], [], [], [], []
             for t in b.column(3).to_pylist():
                 s = shingles(t, k)
@@ -122,7 +142,7 @@ def _documents(levels: np.ndarray, k: int, percent: int):
                     f1.append(int(mix(s, 77).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                     f2.append(int(mix(s, 78).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 toks.append(prefix(order_keys(s, levels, 0), percent).view(np.int64))
-                hists.append(np.minimum(np.bincount((s % np.uint64(HIST)).astype(np.int64), minlength=HIST), 65535).astype("<u2").tobytes())
+                hists.append(histogram(s))
             ends = np.cumsum([0, *map(len, toks)]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(toks) if toks else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *[pa.array(x, pa.int64()) for x in (ns, f1, f2)], tokens, pa.array(hists, pa.binary())], names=["row_id", "doc_id", "text_hash", "n", "fp1", "fp2", "tokens", "hist"])
@@ -130,17 +150,33 @@ def _documents(levels: np.ndarray, k: int, percent: int):
     return run
 
 
-def near_forest(n: np.ndarray, hist: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def near_forest(n: np.ndarray, hists: list[bytes], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs whose histograms leave a link possible.
 
-    What the middle row reaches is one tree; every other row is compared with all rows.
+    What the middle row reaches is one tree; every other row is compared with all
+    rows. Sizes that may link differ by less than a doubling, so only histograms of
+    the same or a neighbouring length are compared, the longer one folded.
     """
     label = np.arange(len(n))
+    size = np.array([len(h) for h in hists])
+    at = {b: np.flatnonzero(size == b) for b in np.unique(size).tolist()}
+    table = {b: np.frombuffer(b"".join(hists[i] for i in rows), np.uint8).reshape(-1, b).astype(np.int32) for b, rows in at.items()}
+    folded = {b: t[:, : b // 2] + t[:, b // 2 :] for b, t in table.items() if b // 2 in at}
     out = []
 
     def near(i: int) -> np.ndarray:
-        away = np.abs(hist - hist[i]).sum(1)
-        return np.flatnonzero(away * (100 + percent) <= (n + n[i]) * (100 - percent))
+        b = int(size[i])
+        own = np.frombuffer(hists[i], np.uint8).astype(np.int32)
+        found = []
+        for rows, t, mine in ((at.get(b), table.get(b), own), (at.get(2 * b), folded.get(2 * b), own), (at.get(b // 2), table.get(b // 2), own[: b // 2] + own[b // 2 :])):
+            if rows is None:
+                continue
+            rough = np.flatnonzero(100 * np.minimum(n[rows], n[i]) >= percent * np.maximum(n[rows], n[i]))
+            for k in range(0, len(rough), 4096):
+                some = rough[k : k + 4096]
+                away = np.abs(t[some] - mine).sum(1)
+                found.append(rows[some[away * (100 + percent) <= (n[rows[some]] + n[i]) * (100 - percent)]])
+        return np.concatenate(found)
 
     def join(i: int) -> None:
         for j in near(i):
@@ -168,8 +204,7 @@ def _forests(percent: int):
         def close() -> None:
             if len(held) > 1:
                 n = np.array([h[1] for h in held], np.int64)
-                hist = np.frombuffer(b"".join(h[2] for h in held), "<u2").reshape(len(held), HIST).astype(np.int32)
-                for a, b in near_forest(n, hist, percent):
+                for a, b in near_forest(n, [h[2] for h in held], percent):
                     x, y = held[a][0], held[b][0]
                     e = (x, y) if x > y else (y, x)
                     if e not in seen:
@@ -188,7 +223,7 @@ def _forests(percent: int):
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=_edges)
                 u.clear(), v.clear()
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 seen.clear()
         close()
         if u:
@@ -265,6 +300,7 @@ def linked_pairs(sets: list[np.ndarray], percent: int, levels: np.ndarray, left:
 
 def _verify(k: int, percent: int, levels: np.ndarray):
     def run(group: pa.Table) -> pa.Table:
+        release_caches()
         group = group.sort_by([("class", "ascending"), ("i", "ascending"), ("j", "ascending"), ("rep", "ascending")])
         keys = group.column("rep").to_numpy()
         cols = [group.column(c).to_numpy() for c in ("class", "i", "j")]
@@ -290,6 +326,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     component_id is the least doc_id that links reach.
     """
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be between 50 and 100")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     levels = rarity_levels(base.select("text"), k)
     found = base.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text_hash", "text").mapInArrow(_documents(levels, k, percent), _doc_ddl)
@@ -302,9 +340,11 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     compared = shared.join(found.select("row_id", "n", "hist"), "row_id").select("token", "row_id", "n", "hist")
     forests = compared.repartition("token").sortWithinPartitions("token", "row_id").mapInArrow(_forests(percent), "u long, v long")
     rough = write_cut(connected_components(forests, "rough-cc").select(F.col("node").alias("rep"), F.col("component").alias("class")), "rough")
-    rough = rough.join(firsts.select("rep"), "rep", "left_semi")
-    crowd = rough.groupBy("class").agg(F.count("*").alias("m")).where("m > 1").select("class", F.ceil(F.col("m") / block).cast("int").alias("nb"))
-    placed = rough.join(crowd, "class").join(firsts.select("rep", "doc_id", "text_hash"), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    rough = rough.join(firsts.select("rep", "doc_id", "text_hash", "n"), "rep")
+    # a block holds about so many sets, and about 600 shingles for each of them
+    size = F.greatest(F.count("*") / block, F.sum("n") / (600 * block))
+    crowd = rough.groupBy("class").agg(F.count("*").alias("m"), F.ceil(size).cast("int").alias("nb")).where("m > 1").select("class", "nb")
+    placed = rough.join(crowd, "class").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     texts = base.join(placed, base.doc_id.eqNullSafe(placed.doc_id) & (base.text_hash == placed.text_hash)).select("rep", "class", "nb", "own", "text")
     pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j"), (x < F.col("own")).cast("int").alias("side")))
     dealt = texts.select("rep", "class", "text", F.explode(pair).alias("p")).select("rep", "class", "text", "p.i", "p.j", "p.side")
