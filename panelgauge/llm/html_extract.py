@@ -6,15 +6,16 @@ of the host; the vector is carried as two weighted sums over the pages, which ad
 up in any order, so a host of any size is summed before the shuffle and never
 gathered. Tokens of one host with equal vectors form an equivalence class. Valid
 classes occur once on each of at least half of the host's pages; nested by path
-they make the host's template, whose gaps are the slots. The content container is
-the deepest template element that holds most of the text outside of menus, headers,
-footers and the like. Text blocks that stand in a valid class are the template's own
-text (notices and so on) and no slot, unless they are inside article or main.
+they make the host's template, whose gaps are the slots. Text blocks that stand in a
+valid class are the template's own text (notices and so on) and no slot.
+The content container is article, else main, where a page has one. Elsewhere it is
+the lowest template element above all slots that stand on ``share`` of the host's
+pages; slots outside of it are kept as well.
 
 Defined results
   null or empty html    an empty text
   null url, no host     pages of one nameless host
-  few pages of a host   below ``min_pages`` no class is valid; article, main or body is the container
+  few pages of a host   below ``min_pages`` no class is valid; article, main or the whole page is the container
   repeated rows, ids    each row has its own result
   broken markup         unclosed elements end with their parent, a cut tag at the end is dropped
   empty table           no rows
@@ -132,8 +133,8 @@ def host_of(url: str) -> Column:
     return F.coalesce(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
 
 
-_sums = pa.schema([("host", pa.string()), ("token", pa.int64()), ("path", pa.string()), ("w1", pa.int64()), ("w2", pa.int64()), ("pages", pa.int64()), ("total", pa.int64()), ("chars", pa.int64())])
-_sums_ddl = "host string, token long, path string, w1 long, w2 long, pages long, total long, chars long"
+_sums = pa.schema([("host", pa.string()), ("token", pa.int64()), ("path", pa.string()), ("w1", pa.int64()), ("w2", pa.int64()), ("pages", pa.int64()), ("total", pa.int64()), ("chars", pa.int64()), ("up", pa.int64())])
+_sums_ddl = "host string, token long, path string, w1 long, w2 long, pages long, total long, chars long, up long"
 
 
 def _token_id(key: str) -> int:
@@ -143,7 +144,10 @@ def _token_id(key: str) -> int:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial sums of the occurrence vectors: weights of a page times counts, for each token of a host."""
+    """Partial sums of the occurrence vectors: weights of a page times counts, for each token of a host.
+
+    ``chars`` counts text outside of menus and the like: of an element what stands in it directly, of a text block its own at ``up``.
+    """
     held: dict[tuple[str, int], list] = {}
 
     def out() -> pa.RecordBatch:
@@ -159,20 +163,21 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: dict[str, list] = {}
             for path, outside, text in blocks(page):
                 if text is None:
-                    got = seen.setdefault(_key(path), [0, 0, True])
+                    got = seen.setdefault(_key(path), [0, 0, None])
                     got[0] += 1
                 else:
-                    got = seen.setdefault(_key(path, text), [0, 0, False])
+                    place = _key(path)
+                    got = seen.setdefault(_key(path, text), [0, 0, place])
                     got[0] += 1
                     if not outside:
-                        for k in range(1, len(path) + 1):
-                            seen.setdefault(_key(path[:k]), [0, 0, True])[1] += len(text)
-            seen[""] = [1, 0, True]
-            for key, (n, chars, element) in seen.items():
+                        got[1] += len(text)
+                        seen.setdefault(place, [0, 0, None])[1] += len(text)
+            seen.setdefault("", [0, 0, None])[0] = 1
+            for key, (n, chars, place) in seen.items():
                 at = (host, _token_id(key))
                 got = held.get(at)
                 if got is None:
-                    held[at] = [key if element else None, w1[i] * n, w2[i] * n, 1, n, chars]
+                    held[at] = [key if place is None else None, w1[i] * n, w2[i] * n, 1, n, chars, None if place is None else _token_id(place)]
                 else:
                     got[1] += w1[i] * n
                     got[2] += w2[i] * n
@@ -185,7 +190,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def deduce_templates(pages: DataFrame, min_pages: int = 5, share: float = 0.5, main: float = 0.6, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def deduce_templates(pages: DataFrame, min_pages: int = 5, share: float = 0.5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """host, container (path), own (ids of the template's text blocks): one row per host with a template.
 
     ``classes`` of a host: tokens with equal vectors (w1, w2, pages, total). A valid
@@ -194,31 +199,33 @@ def deduce_templates(pages: DataFrame, min_pages: int = 5, share: float = 0.5, m
     """
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     sums = base.select("page_id", host_of("url").alias("host"), "html").mapInArrow(_vectors, _sums_ddl)
-    tokens = sums.groupBy("host", "token").agg(F.max("path").alias("path"), *[F.sum(c).alias(c) for c in ("w1", "w2", "pages", "total", "chars")])
+    tokens = sums.groupBy("host", "token").agg(F.max("path").alias("path"), *[F.sum(c).alias(c) for c in ("w1", "w2", "pages", "total", "chars")], F.max("up").alias("up"))
     tokens = write_cut(tokens.where("pages > 1 OR path IS NOT NULL"), "vectors")
     sizes = tokens.where("path = ''").select("host", F.col("pages").alias("n"))
-    often = tokens.where("path IS NULL OR path <> ''").join(sizes, "host").where((F.col("pages") >= min_pages) & (F.col("pages") >= share * F.col("n")) & (F.col("pages") == F.col("total")))
+    common = tokens.join(sizes, "host").where((F.col("pages") >= min_pages) & (F.col("pages") >= share * F.col("n")))
+    often = common.where((F.col("pages") == F.col("total")) & (F.coalesce("path", F.lit("-")) != ""))
     classes = often.groupBy("host", "w1", "w2", "pages", "total").agg(
-        F.collect_list(F.when(F.col("path").isNotNull(), F.struct("path", "chars"))).alias("elements"), F.collect_list(F.when(F.col("path").isNull(), F.col("token"))).alias("own"), F.max("chars").alias("chars")
+        F.collect_list("path").alias("elements"), F.collect_list(F.when(F.col("path").isNull(), F.col("token"))).alias("own")
     )  # a valid class has at most a page's number of tokens divided by share
-    most = tokens.where("path <> ''").groupBy("host").agg(F.max("chars").alias("most"))
-    held = classes.join(most, "host")
-    inside = F.filter("elements", lambda e: e["chars"] >= main * F.col("most"))
-    per_class = held.select("host", "own", F.array_max(F.transform(inside, lambda e: F.struct(F.length(e["path"]).alias("depth"), e["path"].alias("path")))).alias("best"))
-    return per_class.groupBy("host").agg(F.max("best").getField("path").alias("container"), F.flatten(F.collect_list("own")).alias("own"))
+    frames = classes.groupBy("host").agg(F.flatten(F.collect_list("elements")).alias("elements"), F.flatten(F.collect_list("own")).alias("own"))
+    # a place is an element whose text is not all the template's own; the common start of all places is that of the least and the greatest
+    own = often.where("path IS NULL").groupBy("host", F.col("up").alias("token")).agg(F.sum("chars").alias("own_chars"))
+    places = common.where("path IS NOT NULL").join(own, ["host", "token"], "left").where(F.col("chars") > F.coalesce("own_chars", F.lit(0)))
+    steps = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split("path", ">"))
+    ends = places.groupBy("host").agg(F.min(steps).alias("a"), F.max(steps).alias("b"))
+    held = frames.join(ends, "host", "left")
+    above = F.filter("elements", lambda e: (F.slice("a", 1, F.size(F.split(e, ">"))) == F.split(e, ">")) & (F.slice("b", 1, F.size(F.split(e, ">"))) == F.split(e, ">")))
+    return held.select("host", F.array_max(F.transform(above, lambda e: F.struct(F.length(e).alias("depth"), e.alias("path")))).getField("path").alias("container"), "own")
 
 
 def main_text(page: str | None, container: str | None, own: set[int]) -> str:
-    """The text blocks of the page's slots under its content container."""
+    """The text blocks of the page's content container and its slots elsewhere."""
     found = [(path, text) for path, outside, text in blocks(page) if text is not None and not outside]
-    if container:
-        want = tuple(container.split(">"))
-        under = [x for x in found if x[0][: len(want)] == want]
-        found = under or found
     article = [x for x in found if any(_is(s, "article") for s in x[0])] or [x for x in found if any(_is(s, "main") for s in x[0])]
     if article:
         return "\n".join(t for _, t in article)
-    return "\n".join(t for p, t in found if not own or _token_id(_key(p, t)) not in own)
+    want = tuple(container.split(">")) if container else ()
+    return "\n".join(t for p, t in found if (want and p[: len(want)] == want) or not own or _token_id(_key(p, t)) not in own)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

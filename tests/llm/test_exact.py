@@ -357,3 +357,19 @@ def test_html_template(spark):
         assert got[n] == f"Title {n}\nSome & text {n} more bold words\nSecond {n} <tag>", n
     assert got[50] == "" and got[51] == "a\nb c\nd" and got[52] == "H\nx\ny"
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def _texts(spark, pages):
+    df = spark.createDataFrame([(n, "http://h.example/x", p) for n, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    return [got[n] for n in range(len(pages))]
+
+
+def test_html_keeps_the_text_beside_the_deepest_element(spark):
+    body = "".join(f"<p>long text {{n}} of paragraph {k}</p>" for k in range(4))
+    text = "\n".join(f"long text {{n}} of paragraph {k}" for k in range(4))
+    nested = f'<body><article><h1>T {{n}}</h1><p class=lead>L {{n}}</p><div class=body>{body}</div></article></body>'
+    single = "<body><article><h1>T {n}</h1><p>a single long paragraph {n}</p></article></body>"
+    plain = f'<body><div class=page><h1>T {{n}}</h1><p class=lead>L {{n}}</p><div class=body>{body}</div></div><p>Standing line</p></body>'
+    for page, want in ((nested, f"T {{n}}\nL {{n}}\n{text}"), (single, "T {n}\na single long paragraph {n}"), (plain, f"T {{n}}\nL {{n}}\n{text}")):
+        assert _texts(spark, [page.format(n=n) for n in range(8)]) == [want.format(n=n) for n in range(8)]
