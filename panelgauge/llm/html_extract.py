@@ -5,9 +5,10 @@ text block at its path. A token's occurrence vector holds its count on each page
 of the host; the vector is carried as two weighted sums over the pages, which add
 up in any order, so a host of any size is summed before the shuffle and never
 gathered. Tokens of one host with equal vectors form an equivalence class. Valid
-classes occur once on each of at least half of the host's pages; nested by path
+classes occur once on each of at least half of the host's distinct pages (pages with
+the same text outside of menus and the like count once); nested by path
 they make the host's template, whose gaps are the slots. Text blocks that stand in a
-valid class are the template's own text (notices and so on) and no slot.
+valid class are the template's own text (notices and so on) and no slot; inside the content container they are kept.
 The content container is article, else main, where a page has one. Elsewhere it is
 the lowest template element above all slots that stand on ``share`` of the host's
 pages; slots outside of it are kept as well.
@@ -17,6 +18,7 @@ Defined results
   null url, no host     pages of one nameless host
   few pages of a host   below ``min_pages`` no class is valid; article, main or the whole page is the container
   repeated rows, ids    each row has its own result
+  copied pages          one page in the vectors, each with its own result
   broken markup         unclosed elements end with their parent, a cut tag at the end is dropped
   empty table           no rows
   other columns         ignored
@@ -143,6 +145,16 @@ def _token_id(key: str) -> int:
     return int.from_bytes(hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+_pages = pa.schema([("digest", pa.int64()), ("host", pa.string()), ("html", pa.string())])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digest of a page's text blocks outside of menus and the like; pages with equal ones are copies."""
+    for b in batches:
+        ids = [_token_id("\0".join(_key(path, text) for path, outside, text in blocks(page) if text is not None and not outside)) for page in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), b.column(0), b.column(1)], schema=_pages)
+
+
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial sums of the occurrence vectors: weights of a page times counts, for each token of a host.
 
@@ -156,7 +168,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _sums, strict=True)], schema=_sums)
 
     for b in batches:
-        ids = np.array([0 if x is None else x for x in b.column(0).to_pylist()], np.int64).view(np.uint64)
+        ids = np.array(b.column(0).to_pylist(), np.int64).view(np.uint64)
         w1 = (mix(ids, 1) >> np.uint64(34)).astype(np.int64).tolist()
         w2 = (mix(ids, 2) >> np.uint64(34)).astype(np.int64).tolist()
         for i, (host, page) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
@@ -190,15 +202,17 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def deduce_templates(pages: DataFrame, min_pages: int = 5, share: float = 0.5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def deduce_templates(pages: DataFrame, min_pages: int = 5, share: float = 0.5, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """host, container (path), own (ids of the template's text blocks): one row per host with a template.
 
     ``classes`` of a host: tokens with equal vectors (w1, w2, pages, total). A valid
     class stands once on each page it is on, on at least ``share`` of the host's
-    pages and on ``min_pages``; a class that only repeats another's place is nested in it.
+    distinct pages and on ``min_pages``; a class that only repeats another's place is nested in it.
     """
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    sums = base.select("page_id", host_of("url").alias("host"), "html").mapInArrow(_vectors, _sums_ddl)
+    base = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    read = base.select(host_of("url").alias("host"), "html").mapInArrow(_digests, "digest long, host string, html string")
+    distinct = read.groupBy("digest", "host").agg(F.min("html").alias("html"))  # the least of the copies, so that reruns agree
+    sums = distinct.mapInArrow(_vectors, _sums_ddl)
     tokens = sums.groupBy("host", "token").agg(F.max("path").alias("path"), *[F.sum(c).alias(c) for c in ("w1", "w2", "pages", "total", "chars")], F.max("up").alias("up"))
     tokens = write_cut(tokens.where("pages > 1 OR path IS NOT NULL"), "vectors")
     sizes = tokens.where("path = ''").select("host", F.col("pages").alias("n"))
@@ -237,7 +251,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
     """page_id, url, text of every row."""
-    templates = write_cut(deduce_templates(pages, id_col=id_col, url_col=url_col, html_col=html_col, **options), "templates")
+    templates = write_cut(deduce_templates(pages, url_col=url_col, html_col=html_col, **options), "templates")
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     # the templates' size is known from the written files: Spark broadcasts them below its threshold and joins by host beyond it
     joined = base.withColumn("host", host_of("url")).join(templates, "host", "left").select("page_id", "url", "html", "container", "own")

@@ -373,3 +373,14 @@ def test_html_keeps_the_text_beside_the_deepest_element(spark):
     plain = f'<body><div class=page><h1>T {{n}}</h1><p class=lead>L {{n}}</p><div class=body>{body}</div></div><p>Standing line</p></body>'
     for page, want in ((nested, f"T {{n}}\nL {{n}}\n{text}"), (single, "T {n}\na single long paragraph {n}"), (plain, f"T {{n}}\nL {{n}}\n{text}")):
         assert _texts(spark, [page.format(n=n) for n in range(8)]) == [want.format(n=n) for n in range(8)]
+
+
+def test_html_copied_articles_keep_their_text(spark):
+    page = "<body><nav>menu {m}</nav><div class=page><h1>T {n}</h1><p>first {n}</p><p>second {n}</p></div><p>Standing line</p></body>"
+    text = "T {n}\nfirst {n}\nsecond {n}"
+    which = [0] * 9 + [1, 2, 3, 4, 5]
+    assert _texts(spark, [page.format(n=n, m=m) for m, n in enumerate(which)]) == [text.format(n=n) for n in which]
+    shared = "<body><div class=page><h1>T {n}</h1><p>{p}</p><p>own {n}</p></div></body>"
+    passage = lambda n: "shared passage" if n % 4 else f"another {n}"
+    assert _texts(spark, [shared.format(n=n, p=passage(n)) for n in range(12)]) == [f"T {n}\n{passage(n)}\nown {n}" for n in range(12)]
+    assert _texts(spark, [page.replace("<p>Standing line</p>", "").format(n=0, m=m) for m in range(8)]) == [text.format(n=0)] * 8
