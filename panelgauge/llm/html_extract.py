@@ -44,7 +44,7 @@ OUTSIDE = frozenset("head nav header footer aside form menu dialog fieldset labe
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An element of the key ends open elements of the value when it starts.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-# Words of class and id names that mark what is not the article.
+# Class and id names that mark what is not the article; of a compound name all words are among them.
 OUTSIDE_WORDS = frozenset(
     "ad ads advert advertisement adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer discussion disqus "
     "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion recommended related "
@@ -63,16 +63,41 @@ _WORD = re.compile(r"[a-z]+")
 
 
 def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], bool, str | None]]:
-    """(path, outside, text): the elements as they open (text None) and the text blocks, in page order."""
-    stack: list[tuple[str, str, bool]] = []  # name, label, outside
+    """(path, outside, text): the elements as they open (text None) and the text blocks, in page order.
+
+    A class or id name puts an element outside unless it is around the outermost article or main (by such names) or holds most of the page's text.
+    """
+    found = list(_events(page))
+    chars, around, total = {}, [], 0
+    for path, outside, named, text in found:
+        if text is None:
+            if path and _is(path[-1], "article", "main"):
+                around.append(named)
+        elif not outside:
+            total += len(text)
+            for k in named:
+                chars[k] = chars.get(k, 0) + len(text)
+    least = min(map(len, around), default=0)
+    exempt = {k for named in around if len(named) == least for k in named} | {k for k, n in chars.items() if 2 * n > total}
+    for path, outside, named, text in found:
+        yield path, outside or any(k not in exempt for k in named), text
+
+
+def _events(page: str | None) -> Iterator[tuple[tuple[str, ...], bool, tuple[int, ...], str | None]]:
+    """(path, outside by element, role or hidden, numbers of the elements around that are outside by name, text)."""
+    stack: list[tuple[str, str, bool, int]] = []  # name, label, outside, number if outside by name else 0
     held: list[str] = []
+    numbers = 0
+
+    def at_top(text):
+        return tuple(s[1] for s in stack if s[0] in BLOCKS), any(s[2] for s in stack), tuple(s[3] for s in stack if s[3]), text
 
     def flush():
         if held:
             text = " ".join(html_module.unescape("".join(held)).split())
             held.clear()
             if text:
-                yield tuple(s[1] for s in stack if s[0] in BLOCKS), any(s[2] for s in stack), text
+                yield at_top(text)
 
     for m in _TOKEN.finditer(page or ""):
         if m["text"] is not None:
@@ -105,7 +130,7 @@ def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], bool, str | None
                 del stack[at:]
         if name in VOID:
             continue
-        label, outside = name, name in OUTSIDE
+        label, outside, number = name, name in OUTSIDE, 0
         if m["attrs"].strip():
             for a in _ATTR.finditer(m["attrs"]):
                 kind, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
@@ -115,14 +140,20 @@ def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], bool, str | None
                     outside |= value in OUTSIDE_ROLES
                 else:
                     words = _WORD.findall(value)
-                    outside |= name not in ("html", "body", "article", "main") and any(w in OUTSIDE_WORDS for w in words)
+                    if not number and name not in ("html", "body", "article", "main") and any(_outside_name(x) for x in value.split()):
+                        number = numbers = numbers + 1
                     label += ("." if kind == "class" else "#") + "-".join(words)
-        stack.append((name, label, outside))
+        stack.append((name, label, outside, number))
         if block:
-            yield tuple(s[1] for s in stack if s[0] in BLOCKS), any(s[2] for s in stack), None
+            yield at_top(None)
     yield from flush()
 
 
+def _outside_name(name: str) -> bool:
+    words = _WORD.findall(name)
+    return bool(words) and all(w in OUTSIDE_WORDS for w in words)
+
+
 def _is(label: str, *names: str) -> bool:
     return re.split(r"[.#]", label, maxsplit=1)[0] in names
 

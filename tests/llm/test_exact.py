@@ -384,3 +384,14 @@ def test_html_copied_articles_keep_their_text(spark):
     passage = lambda n: "shared passage" if n % 4 else f"another {n}"
     assert _texts(spark, [shared.format(n=n, p=passage(n)) for n in range(12)]) == [f"T {n}\n{passage(n)}\nown {n}" for n in range(12)]
     assert _texts(spark, [page.replace("<p>Standing line</p>", "").format(n=0, m=m) for m in range(8)]) == [text.format(n=0)] * 8
+
+
+def test_html_class_names_are_evidence_only():
+    text = lambda page: html_extract.main_text(page, None, set())
+    article = "<article><h1>T</h1><p>body</p></article>"
+    plain = "<h1>T</h1><p>body of the page</p>"
+    for name in ("content with-sidebar", "search-results-page", "search", "widget"):
+        assert text(f"<div class='{name}'>{article}</div><div class=sidebar>no</div>") == "T\nbody", name
+        assert text(f"<div id='{name}'>{plain}</div><div class=sidebar>no</div>") == "T\nbody of the page", name
+    assert text("<div class='entry-header'><h1>T</h1></div><p>body</p><div class='x comments'>no</div><div class=share-social>no</div>") == "T\nbody"
+    assert text(f"<div class=widget>{article}<ol class=comments><li><article>a</article></ol></div>") == "T\nbody"
