@@ -19,7 +19,8 @@ Defined results
   few pages of a host   below ``min_pages`` no class is valid; article, main or the whole page is the container
   repeated rows, ids    each row has its own result
   copied pages          one page in the vectors, each with its own result
-  broken markup         unclosed elements end with their parent, a cut tag at the end is dropped
+  broken markup         unclosed elements end with their parent, a cut tag at the end is dropped; of a skipped element
+                        (button, svg and the like) without a closing tag only the tag goes, as of a self-closing svg or math
   empty table           no rows
   other columns         ignored
 """
@@ -39,7 +40,8 @@ from .common import mix, write_cut
 
 # Names of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template textarea title iframe svg math object select option button canvas video audio".split()
+RAW = "script style textarea title".split()  # text up to the closing tag, or the page's end
+SKIPPED = "noscript template iframe svg math object select option button canvas video audio".split()  # gone with their closing tag
 OUTSIDE = frozenset("head nav header footer aside form menu dialog fieldset label input".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An element of the key ends open elements of the value when it starts.
@@ -53,11 +55,16 @@ OUTSIDE_WORDS = frozenset(
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+_SKIPPED = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<close>/?)(?P<name>" + "|".join(SKIPPED) + r")(?=[\s/>])(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
+    re.S | re.I,
+)
 _ATTR = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -83,11 +90,25 @@ def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], bool, str | None
         yield path, outside or any(k not in exempt for k in named), text
 
 
+def _skips(page: str) -> dict[int, int]:
+    """Start of each skipped element with a closing tag of its own -> the place after that."""
+    out, opened = {}, {}
+    for m in _SKIPPED.finditer(page):
+        name = (m["name"] or "").lower()
+        if not name or name in ("svg", "math") and m["attrs"].endswith("/"):
+            continue
+        if not m["close"]:
+            opened.setdefault(name, []).append(m.start())
+        elif opened.get(name):
+            out[opened[name].pop()] = m.end()
+    return out
+
+
 def _events(page: str | None) -> Iterator[tuple[tuple[str, ...], bool, tuple[int, ...], str | None]]:
     """(path, outside by element, role or hidden, numbers of the elements around that are outside by name, text)."""
     stack: list[tuple[str, str, bool, int]] = []  # name, label, outside, number if outside by name else 0
     held: list[str] = []
-    numbers = 0
+    numbers, at, skips, page = 0, 0, None, page or ""
 
     def at_top(text):
         return tuple(s[1] for s in stack if s[0] in BLOCKS), any(s[2] for s in stack), tuple(s[3] for s in stack if s[3]), text
@@ -99,35 +120,42 @@ def _events(page: str | None) -> Iterator[tuple[tuple[str, ...], bool, tuple[int
             if text:
                 yield at_top(text)
 
-    for m in _TOKEN.finditer(page or ""):
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = m.end()
         if m["text"] is not None:
             held.append(m["text"])
             continue
         name = (m["name"] or "").lower()
         if not name:
             continue
+        if name in SKIPPED:
+            if not m["close"]:
+                skips = _skips(page) if skips is None else skips
+                at = skips.get(m.start(), at)
+            continue
         if name == "br":
             held.append(" ")
             continue
         block = name in BLOCKS
         if m["close"]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if at is None or (not block and any(s[0] in BLOCKS for s in stack[at + 1 :])):
+            top = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            if top is None or (not block and any(s[0] in BLOCKS for s in stack[top + 1 :])):
                 continue
             if block:
                 yield from flush()
-            del stack[at:]
+            del stack[top:]
             continue
         if block:
             yield from flush()
             ended = ENDS.get(name)
             if ended:
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ended or stack[i][0] in ("ul", "ol", "dl", "table")), None)
-                if at is not None and stack[at][0] in ended:
-                    del stack[at:]
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCKS), None)
-            if at is not None and stack[at][0] == "p":
-                del stack[at:]
+                top = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ended or stack[i][0] in ("ul", "ol", "dl", "table")), None)
+                if top is not None and stack[top][0] in ended:
+                    del stack[top:]
+            top = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCKS), None)
+            if top is not None and stack[top][0] == "p":
+                del stack[top:]
         if name in VOID:
             continue
         label, outside, number = name, name in OUTSIDE, 0

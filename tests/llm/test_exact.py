@@ -395,3 +395,13 @@ def test_html_class_names_are_evidence_only():
         assert text(f"<div id='{name}'>{plain}</div><div class=sidebar>no</div>") == "T\nbody of the page", name
     assert text("<div class='entry-header'><h1>T</h1></div><p>body</p><div class='x comments'>no</div><div class=share-social>no</div>") == "T\nbody"
     assert text(f"<div class=widget>{article}<ol class=comments><li><article>a</article></ol></div>") == "T\nbody"
+
+
+@pytest.mark.parametrize("tag", ["<svg class=i/>", "<math/>", "<svg><title/><script/></svg>", "<svg><svg></svg>x</svg>", "<button>", "<canvas>", "<option>", "<button><!-- </button> -->", "<select><option>a<option>b</select>", "<video-caption></video-caption>", "<title-x/>"])
+def test_html_skipped_elements_end(tag):
+    page = f"<article><h1>T</h1>{tag}<p>body</p><button>no</button><p>end</p></article>"
+    assert html_extract.main_text(page, None, set()) == "T\nbody\nend"
+
+
+def test_html_raw_text_ends_with_the_page():
+    assert html_extract.main_text("<p>a</p><button>no</button><script>var a = '<p>x</p>'", None, set()) == "a"
