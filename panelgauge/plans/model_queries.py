@@ -80,24 +80,42 @@ def categorical_target(spark, d):
     return simulate.decision_target(spark, DESIGN, {"item": 50, "rater": 5}, {"item": 1.5, "rater": 0.2}, [-0.7, 0.6], ["low", "mid", "high"], 10, 4)
 
 
-def _moments_of(pdf, keys):
-    """Moment components and G of one complete resampled panel (item x rater)."""
+def _refit(pdf, keys):
+    """REML components, G at the panel's own allocation and its standard error of one complete panel (item x rater); nulls where no fit is accepted."""
+    import numpy as np
     import pandas as pd
 
+    out = {k: [pdf[k].iloc[0]] for k in keys} | {"status": ["fit_error"]} | {c: [None] for c in FITTED}
     y = pdf.pivot(index="item", columns="rater", values="y").to_numpy()
     n, m = y.shape
     a, b, g = y.mean(1), y.mean(0), y.mean()
-    res = y - a[:, None] - b[None, :] + g
-    mr = (res**2).sum() / ((n - 1) * (m - 1))
-    vi, vr = (m * ((a - g) ** 2).sum() / (n - 1) - mr) / m, (n * ((b - g) ** 2).sum() / (m - 1) - mr) / n
-    u = max(vi, 0.0)
-    return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "item_variance": [vi], "rater_variance": [vr], "residual": [mr], "Erho2": [u / (u + mr / m) if u + mr / m > 0 else None]})
+    ss = {0: n * m * g**2, 1: m * ((a - g) ** 2).sum(), 2: n * ((b - g) ** 2).sum(), 3: ((y - a[:, None] - b[None, :] + g) ** 2).sum()}
+    if min(n, m) > 1 and ss[1] + ss[2] + ss[3] > 0:
+        df = {0: 1.0, 1: n - 1.0, 2: m - 1.0, 3: (n - 1.0) * (m - 1.0)}
+        p = fit.Prepared(["item", "rater"], ["y"], [n, m], df, {k: np.array([[v]]) for k, v in ss.items()})
+        try:
+            f = fit.fit_prepared(p, S.design("item", ["rater"]).resolve("gaussian"))
+        except np.linalg.LinAlgError:
+            return pd.DataFrame(out)
+        out["status"] = ["accepted" if f.accepted else "numerically_refused"]
+        if f.accepted:
+            at = [float(f.components[s][0, 0]) for s in ("item", "rater", S.RESIDUAL)]
+            out |= dict(zip(FITTED, [[v] for v in (*at, *fit.coefficient(f, {"rater": m}))], strict=True))
+    return pd.DataFrame(out)
+
+
+FITTED = ("item_variance", "rater_variance", "residual", "Erho2", "Erho2_se")
+
+
+def _refits(panel, keys):
+    ddl = ", ".join([*[f"{k} long" for k in keys], "status string", *[f"{c} double" for c in FITTED]])
+    return panel.groupBy(*keys).applyInPandas(lambda p: _refit(p, keys), ddl)
 
 
 def _bootstrap(spark):
     panel = simulate.gaussian_panel(spark, S.design("item", ["rater"]).resolve("gaussian"), {"item": 40, "rater": 5}, {"item": 1.5, "rater": 0.3, "Residual": 0.8}, seed=9)
     rows = resampling.resample(panel, resampling.draws(panel, "item", 100, 17), "item")
-    return rows.groupBy("attempt").applyInPandas(lambda p: _moments_of(p, ["attempt"]), "attempt long, item_variance double, rater_variance double, residual double, Erho2 double")
+    return _refits(rows, ["attempt"])
 
 
 def bootstrap_fit(spark, d):
@@ -105,14 +123,22 @@ def bootstrap_fit(spark, d):
     return resampling.intervals(long, ["component"], "value")
 
 
-def pilot_plan(spark, d):
+def _pilot(spark):
+    """status, accepted, bounds and width of each attempt: simulated, refitted, interval of G."""
+    from ..operators.reliability import logit_interval
+
     by = spark.range(1, 41).select(((F.col("id") - 1) % 2 + 1).alias("design_id"), F.col("id").alias("replicate"))
     design = S.design("item", ["rater"]).resolve("gaussian")
     panel = simulate.gaussian_panel(spark, design, {"item": 30, "rater": 4}, {"item": 1.5, "rater": 0.3, "Residual": 0.8}, seed=2, by=by)
-    fits = panel.groupBy("design_id", "replicate").applyInPandas(lambda p: _moments_of(p, ["design_id", "replicate"]), "design_id long, replicate long, item_variance double, rater_variance double, residual double, Erho2 double")
-    ok = F.col("item_variance") > 0
-    rec = fits.select("design_id", F.when(ok, "accepted").otherwise("numerically_refused").alias("status"), ok.alias("accepted"), ok.alias("interval_available"), F.abs(F.col("Erho2") - 0.88).alias("width"))
-    return resampling.pilot_summary(rec, 0.1)
+    lo, hi = logit_interval(F.col("Erho2"), F.col("Erho2_se"))
+    fits = _refits(panel, ["design_id", "replicate"]).withColumns({"accepted": F.col("status") == "accepted", "lower": lo, "upper": hi})
+    have = F.col("lower").isNotNull() & F.col("upper").isNotNull()
+    fits = fits.withColumns({"interval_available": have, "width": F.col("upper") - F.col("lower")})
+    return fits.withColumn("status", F.when(F.col("accepted") & ~have, "interval_unavailable").otherwise(F.col("status")))
+
+
+def pilot_plan(spark, d):
+    return resampling.pilot_summary(_pilot(spark), 0.1)
 
 
 def laplace_check(spark, d):

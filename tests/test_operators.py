@@ -192,3 +192,21 @@ def test_streaming_counts(spark, panel, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["rows"] for r in spark.table("cells").collect()} == {36}
+
+
+def test_pilot_and_bootstrap_refit_by_reml(spark):
+    import pandas as pd
+
+    from panelgauge.plans import model_queries as Q
+
+    design = S.design("item", ["rater"]).resolve("gaussian")
+    p = simulate.gaussian_panel(spark, design, {"item": 12, "rater": 3}, {"item": 1.5, "rater": 0.0, "Residual": 2.0}, seed=4)
+    f = fit.fit_gaussian(p, ["y"], design)
+    got = Q._refit(p.toPandas().assign(attempt=1), ["attempt"]).iloc[0]
+    assert got["status"] == "accepted" and got[["item_variance", "rater_variance", "residual"]].tolist() == pytest.approx([f.components[s][0, 0] for s in ("item", "rater", "Residual")], abs=1e-4)
+    assert (got["Erho2"], got["Erho2_se"]) == pytest.approx(fit.coefficient(f, {"rater": 3}), abs=1e-4)
+    flat = Q._refit(pd.DataFrame([(i, r, 1.0, 1) for i in range(3) for r in range(2)], columns=["item", "rater", "y", "attempt"]), ["attempt"]).iloc[0]
+    assert flat["status"] == "fit_error" and flat["Erho2"] is None
+    for r in Q._pilot(spark).collect():
+        assert r["interval_available"] == (r["width"] is not None)
+        assert r["width"] is None or 0 < r["lower"] < r["Erho2"] < r["upper"] < 1 and r["width"] == pytest.approx(r["upper"] - r["lower"])
