@@ -6,10 +6,12 @@ exact for the likelihood. Row and dimension limits are the documented controls.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import normal_cdf
@@ -29,6 +31,11 @@ class DiscreteFit:
     thresholds: np.ndarray
     nll: float
     accepted: bool
+    mode: np.ndarray  # standardised random effects at the conditional mode
+    hessian: np.ndarray  # of the penalised likelihood there
+    loading: np.ndarray  # row x dimension x effect: eta of one unit of each effect
+    code: np.ndarray
+    counts: np.ndarray
 
 
 def collapse(panel: DataFrame, design: Design, outcome: str, family: Family, control: Control = Control()) -> tuple[tuple, list]:
@@ -100,6 +107,7 @@ def fit_laplace(rows: list, design: Design, outcome: str, family: Family, levels
         cum = np.cumsum(share)[:-1]
         start = np.log(cum / (1 - cum)) * (1.0 if family.link == "logit" else 0.6)
     mode = np.zeros(total)
+    last: dict[str, np.ndarray] = {}
 
     def unpack(x):
         t = x[len(names):].copy()
@@ -148,6 +156,7 @@ def fit_laplace(rows: list, design: Design, outcome: str, family: Family, levels
         base, _, w = parts(u)
         hess = (zs * n[:, None, None]).reshape(-1, total).T @ np.einsum("rab,rbj->raj", w, zs).reshape(-1, total) + np.eye(total)
         sign, ld = np.linalg.slogdet(hess)
+        last.update(hessian=hess, loading=zs)
         return n @ base + 0.5 * u @ u + 0.5 * ld if sign > 0 else np.inf
 
     def f(x):
@@ -164,7 +173,8 @@ def fit_laplace(rows: list, design: Design, outcome: str, family: Family, levels
         t0[1:] = np.log(np.diff(start))
     x, value, g, _ = _bfgs(f, np.r_[np.full(len(names), np.log(0.5)), t0], 1e-6, 25)
     sd, t = unpack(x)
-    return DiscreteFit(design, family, levels, {s: float(sd[i] ** 2) for i, s in enumerate(names)}, t, float(value), bool(np.isfinite(value) and np.abs(g).max() < 0.05 * (1 + abs(value)) ** 0.5))
+    laplace(x)  # the mode of the parameters returned
+    return DiscreteFit(design, family, levels, {s: float(sd[i] ** 2) for i, s in enumerate(names)}, t, float(value), bool(np.isfinite(value) and np.abs(g).max() < 0.05 * (1 + abs(value)) ** 0.5), mode.copy(), last["hessian"], last["loading"], code, n)
 
 
 def latent_coefficient(fit: DiscreteFit, counts: dict[str, int], kind: str = "Erho2") -> float | None:
@@ -188,6 +198,43 @@ def nominal_eigenvalues(universe: np.ndarray, error: np.ndarray) -> np.ndarray |
     return np.sort(np.clip(np.linalg.eigvalsh(inv @ universe @ inv.T), 0, 1))[::-1]
 
 
+#: Share of the draws that come from the prior (fixed value); it bounds the weights.
+PRIOR_SHARE = 0.1
+
+
+def log_weights(spark: SparkSession, fit: DiscreteFit, draws: int = 4000, seed: int = 1) -> DataFrame:
+    """log_weight of each draw from 0.9 Gaussian at the fit's conditional mode and 0.1 prior: the likelihood is the weights' mean.
+
+    A draw depends on seed and number only, so retries agree.
+    """
+    root = np.linalg.cholesky(fit.hessian)
+    log_det = float(np.log(np.diag(root)).sum())
+    family, thresholds, mode, loading, code, counts, size = fit.family, fit.thresholds, fit.mode, fit.loading, fit.code, fit.counts, len(fit.mode)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i in b.column(0).to_pylist():
+                rng = np.random.default_rng([seed, i])
+                z, prior = rng.standard_normal(size), rng.random() < PRIOR_SHARE
+                u = z if prior else mode + np.linalg.solve(root.T, z)
+                gap = root.T @ (u - mode)
+                # densities without the constant that both have
+                proposal = np.logaddexp(np.log(1 - PRIOR_SHARE) + log_det - 0.5 * gap @ gap, np.log(PRIOR_SHARE) - 0.5 * u @ u)
+                out.append(float(-(counts @ row_nll(family, loading @ u, code, thresholds)) - 0.5 * u @ u - proposal))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], names=["log_weight"])
+
+    return spark.range(draws).mapInArrow(run, "log_weight double")
+
+
+def laplace_check(spark: SparkSession, fit: DiscreteFit, draws: int = 4000, seed: int = 1) -> DataFrame:
+    """One row: twice the negative log likelihood by Laplace and by importance sampling at the fitted parameters, their difference and its Monte Carlo error."""
+    got = importance_check(log_weights(spark, fit, draws, seed))
+    at, n = F.lit(2 * fit.nll), F.col("draws")
+    error = 2 * F.sqrt(F.greatest(n / F.col("effective") - 1, F.lit(0.0)) / (n - 1))
+    return got.select(at.alias("laplace_minus2loglik"), (-2 * F.col("log_mean")).alias("refined_minus2loglik"), (at + 2 * F.col("log_mean")).alias("difference"), error.alias("mc_se"), "effective", "draws", (F.col("effective") >= F.greatest(F.lit(200.0), 0.1 * n)).alias("usable"))
+
+
 def importance_check(log_weights: DataFrame, column: str = "log_weight") -> DataFrame:
     """One row: log of the mean weight and the effective sample size, by log-sum-exp on aggregates."""
     top = log_weights.agg(F.max(column).alias("__top"))

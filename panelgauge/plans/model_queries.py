@@ -52,10 +52,14 @@ def _latent(spark, seed=5):
     return simulate.gaussian_panel(spark, S.design("item", ["rater"]).resolve("gaussian"), LEVELS, {"item": 1.5, "rater": 0.2}, seed=seed)
 
 
-def _laplace(spark, thresholds, labels, family):
+def _discrete_fit(spark, thresholds, labels, family):
     panel = simulate.ordinal_panel(_latent(spark), thresholds, labels, 5, ["item", "rater"])
     levels, rows = discrete.collapse(panel, DESIGN, "label", family)
-    f = discrete.fit_laplace(rows, DESIGN, "label", family, levels)
+    return discrete.fit_laplace(rows, DESIGN, "label", family, levels)
+
+
+def _laplace(spark, thresholds, labels, family):
+    f = _discrete_fit(spark, thresholds, labels, family)
     return spark.createDataFrame([(s, v, f.nll, f.accepted) for s, v in f.variances.items()], "source string, variance double, nll double, accepted boolean")
 
 
@@ -142,8 +146,8 @@ def pilot_plan(spark, d):
 
 
 def laplace_check(spark, d):
-    w = spark.range(5000).select((-0.5 * F.pow(F.randn(3), 2)).alias("log_weight"))
-    return discrete.importance_check(w)
+    f = _discrete_fit(spark, [0.0], ["no", "yes"], S.Family("binary", "logit", ("no", "yes")))
+    return discrete.laplace_check(spark, f, 5000, 3)
 
 
 def queries() -> dict:
