@@ -405,3 +405,16 @@ def test_html_skipped_elements_end(tag):
 
 def test_html_raw_text_ends_with_the_page():
     assert html_extract.main_text("<p>a</p><button>no</button><script>var a = '<p>x</p>'", None, set()) == "a"
+
+
+def test_warc_measures_the_rebuilt_record(spark, tmp_path):
+    pages = [(1, "http://a/", "é" * 200), (2, "http://b/", "é" * 200), (3, None, None)]
+    path = f"file://{tmp_path}/warc"
+    warc.write_archive(spark.createDataFrame(pages, "page_id long, url string, html string"), path)
+    back = warc.read_archive(spark, path)
+    got = {r["page_id"]: r for r in warc.measured(back).collect()}
+    for n, _, html in pages:
+        body = (html or "").encode()
+        assert (got[n]["payload_bytes"], got[n]["payload_digest"]) == (len(body), hashlib.sha256(body).hexdigest())
+    with pytest.raises(Exception, match="record is not whole"):
+        warc.measured(back.withColumn("record", F.expr("substring(record, 1, octet_length(record) - 5)"))).collect()
