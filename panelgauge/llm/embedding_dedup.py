@@ -11,8 +11,8 @@ bucket is split into blocks of about ``block`` classes; each pair of blocks is a
 task group of its own, so no bucket lands in one task. A group returns link
 counts and a spanning set of its links, never its pairs.
 
-Recall: with width 1.0, 6 hashes and 16 tables a pair at cosine 0.95 shares a key with
-probability 0.95, at 0.97 with 0.99, at 0.98 with 0.999. Pairs below the threshold are never linked.
+Recall: with width 1.0, 6 hashes and 32 tables 99.8 % of 20,000 random pairs at cosine 0.95
+shared a key, 99.98 % at 0.97 (16 tables: 95.7 % and 99.4 %). Pairs below the threshold are never linked.
 
 Defined results
   null or zero vectors, null or non-finite components   linked with nothing
@@ -136,7 +136,7 @@ def _compare(threshold: float, tables: int):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", width: float = 1.0, hashes: int = 6, tables: int = 16, seed: int = 7, block: int = 1024) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", width: float = 1.0, hashes: int = 6, tables: int = 32, seed: int = 7, block: int = 1024) -> DataFrame:
     """vec_id, n_links, component_id for every row."""
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     hashed = base.mapInArrow(_hash(tables, hashes, width, seed), "vec_id long, unit binary, keys array<long>")

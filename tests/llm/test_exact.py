@@ -418,3 +418,18 @@ def test_warc_measures_the_rebuilt_record(spark, tmp_path):
         assert (got[n]["payload_bytes"], got[n]["payload_digest"]) == (len(body), hashlib.sha256(body).hexdigest())
     with pytest.raises(Exception, match="record is not whole"):
         warc.measured(back.withColumn("record", F.expr("substring(record, 1, octet_length(record) - 5)"))).collect()
+
+
+def test_embedding_recall_just_above_the_threshold():
+    import inspect
+
+    o = {k: v.default for k, v in inspect.signature(embedding_dedup.near_duplicates).parameters.items()}
+    rng = np.random.default_rng(11)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    a = unit(rng.normal(size=(8000, 64)))
+    r = rng.normal(size=a.shape)
+    cos = rng.uniform(0.95, 0.97, (len(a), 1))
+    b = cos * a + np.sqrt(1 - cos**2) * unit(r - (r * a).sum(1, keepdims=True) * a)
+    ka, kb = (embedding_dedup.table_keys(v, o["tables"], o["hashes"], o["width"], o["seed"]) for v in (a, b))
+    recall = (ka == kb).any(1).mean()
+    assert recall >= 0.995
