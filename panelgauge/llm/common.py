@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -15,20 +17,35 @@ SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 _OWN_DIR: list[str] = []
+#: Scratch folders and tables that are still there.
+_SCRATCH: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own; a cluster is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="panelgauge-"))
     return "file://" + _OWN_DIR[0]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is still there when the driver ends goes then."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH[path] = spark
+    return path
+
+
+def scratch_table(spark: SparkSession, name: str) -> str:
+    """The name of a new table in the warehouse, dropped when the driver ends."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    _SCRATCH[f"table:{table}"] = spark
+    return table
 
 
 def write_cut(df: DataFrame, name: str) -> DataFrame:
@@ -36,7 +53,15 @@ def write_cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._scratch_path = path
+    return back
+
+
+def release(*cuts: DataFrame) -> None:
+    """Remove the files of cuts that nothing reads any more."""
+    for df in cuts:
+        drop_path(df.sparkSession, df._scratch_path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -44,6 +69,23 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _SCRATCH.pop(path, None)
+
+
+def drop_scratch() -> None:
+    """Remove all scratch folders and tables of this driver; their DataFrames can't be read any more."""
+    for path, spark in list(_SCRATCH.items()):
+        if spark.sparkContext._jsc is None:
+            continue
+        with contextlib.suppress(Exception):  # the driver is ending
+            if path.startswith("table:"):
+                spark.sql(f"DROP TABLE IF EXISTS {path[6:]}")
+            else:
+                drop_path(spark, path)
+    _SCRATCH.clear()
+
+
+atexit.register(drop_scratch)
 
 
 #: Caches that workers keep between tasks. A worker serves many operators; one that needs the room empties the others' caches.
