@@ -1,42 +1,55 @@
 """Main text of web pages by equivalence-class template deduction.
 
 A token of a page is an element (its path of tag names with class or id) or a
-text block at its path. A token's occurrence vector holds its count on each page
-of the host; the vector is carried as two weighted sums over the pages, which add
-up in any order, so a host of any size is summed before the shuffle and never
+text block at its path. A token's occurrence vector holds its count on each
+distinct page of the host (pages with the same text outside of menus and the like
+are one); the vector is carried as two weighted sums over the pages, which add up
+in any order, so a host of any size is summed before the shuffle and never
 gathered. Tokens of one host with equal vectors form an equivalence class. Valid
-classes occur once on each of at least half of the host's distinct pages (pages with
-the same text outside of menus and the like count once); nested by path
-they make the host's template, whose gaps are the slots. Text blocks that stand in a
-valid class are the template's own text (notices and so on) and no slot; inside the content container they are kept.
-The content container is article, else main, where a page has one. Elsewhere it is
-the lowest template element above all slots that stand on ``share`` of the host's
-pages; slots outside of it are kept as well.
+classes stand on at least half of the host's distinct pages: with one occurrence
+on each of them, or with more and then at least two tokens (``li`` and what each
+``li`` holds). Nested by path, the valid elements are the host's template; what
+stands between them, and beside no deeper one, is a slot.
+
+A template decides for all pages of its host:
+  content    the article (else main) element of the template where it holds half of
+             the slots' text, else the lowest element above all slots
+  menus      slots outside of the content of which more than half the text is links
+  own        text blocks of a valid class outside of the content (notices and so on);
+             inside only those of the content's own class, on each of at least twice
+             ``min_pages`` pages, and only while they are under a tenth of its text, so
+             that passages which articles share stay
+The slots that are left are extracted on every page that has the content element.
+A page without it, and a host without a template, go by tag and class names:
+article, else main, else the whole page.
 
 Defined results
   null or empty html    an empty text
   null url, no host     pages of one nameless host
-  few pages of a host   below ``min_pages`` no class is valid; article, main or the whole page is the container
+  few pages of a host   below ``min_pages`` distinct pages no class is valid
   repeated rows, ids    each row has its own result
   copied pages          one page in the vectors, each with its own result
+  very long pages       read in one pass with a stack, whole
   broken markup         unclosed elements end with their parent, a cut tag at the end is dropped; of a skipped element
                         (button, svg and the like) without a closing tag only the tag goes, as of a self-closing svg or math
   empty table           no rows
-  other columns         ignored
+  other columns         ignored, whatever their names
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_module
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, write_cut
+from .common import write_cut
 
 # Names of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -69,14 +82,14 @@ _ATTR = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*
 _WORD = re.compile(r"[a-z]+")
 
 
-def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], bool, str | None]]:
-    """(path, outside, text): the elements as they open (text None) and the text blocks, in page order.
+def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], bool, str | None, int]]:
+    """(path, outside, text, characters in links): the elements as they open (text None) and the text blocks, in page order.
 
     A class or id name puts an element outside unless it is around the outermost article or main (by such names) or holds most of the page's text.
     """
     found = list(_events(page))
     chars, around, total = {}, [], 0
-    for path, outside, named, text in found:
+    for path, outside, named, text, _ in found:
         if text is None:
             if path and _is(path[-1], "article", "main"):
                 around.append(named)
@@ -86,8 +99,8 @@ def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], bool, str | None
                 chars[k] = chars.get(k, 0) + len(text)
     least = min(map(len, around), default=0)
     exempt = {k for named in around if len(named) == least for k in named} | {k for k, n in chars.items() if 2 * n > total}
-    for path, outside, named, text in found:
-        yield path, outside or any(k not in exempt for k in named), text
+    for path, outside, named, text, links in found:
+        yield path, outside or any(k not in exempt for k in named), text, links
 
 
 def _skips(page: str) -> dict[int, int]:
@@ -104,27 +117,31 @@ def _skips(page: str) -> dict[int, int]:
     return out
 
 
-def _events(page: str | None) -> Iterator[tuple[tuple[str, ...], bool, tuple[int, ...], str | None]]:
-    """(path, outside by element, role or hidden, numbers of the elements around that are outside by name, text)."""
+def _events(page: str | None) -> Iterator[tuple[tuple[str, ...], bool, tuple[int, ...], str | None, int]]:
+    """(path, outside by element, role or hidden, numbers of the elements around that are outside by name, text, characters in links)."""
     stack: list[tuple[str, str, bool, int]] = []  # name, label, outside, number if outside by name else 0
     held: list[str] = []
-    numbers, at, skips, page = 0, 0, None, page or ""
+    numbers, at, skips, page, linked = 0, 0, None, page or "", 0
 
     def at_top(text):
-        return tuple(s[1] for s in stack if s[0] in BLOCKS), any(s[2] for s in stack), tuple(s[3] for s in stack if s[3]), text
+        return tuple(s[1] for s in stack if s[0] in BLOCKS), any(s[2] for s in stack), tuple(s[3] for s in stack if s[3]), text, linked
 
     def flush():
+        nonlocal linked
         if held:
             text = " ".join(html_module.unescape("".join(held)).split())
             held.clear()
             if text:
                 yield at_top(text)
+            linked = 0
 
     while at < len(page):
         m = _TOKEN.match(page, at)
         at = m.end()
         if m["text"] is not None:
             held.append(m["text"])
+            if any(s[0] == "a" for s in stack):
+                linked += len(m["text"].strip())
             continue
         name = (m["name"] or "").lower()
         if not name:
@@ -191,129 +208,178 @@ def _key(path: tuple[str, ...], text: str | None = None) -> str:
 
 
 def host_of(url: str) -> Column:
-    return F.coalesce(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
-
-
-_sums = pa.schema([("host", pa.string()), ("token", pa.int64()), ("path", pa.string()), ("w1", pa.int64()), ("w2", pa.int64()), ("pages", pa.int64()), ("total", pa.int64()), ("chars", pa.int64()), ("up", pa.int64())])
-_sums_ddl = "host string, token long, path string, w1 long, w2 long, pages long, total long, chars long, up long"
+    return F.coalesce(F.regexp_extract(F.col(f"`{url}`").cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
 
 
 def _token_id(key: str) -> int:
-    import hashlib
-
     return int.from_bytes(hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-_pages = pa.schema([("digest", pa.int64()), ("host", pa.string()), ("html", pa.string())])
+#: token, path (elements only), element it stands in (text blocks only), count, characters outside of menus and the like, characters in links.
+_token = pa.struct([("token", pa.int64()), ("path", pa.string()), ("up", pa.int64()), ("n", pa.int32()), ("chars", pa.int64()), ("links", pa.int64())])
+_token_ddl = "token long, path string, up long, n int, chars long, links long"
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The digest of a page's text blocks outside of menus and the like; pages with equal ones are copies."""
-    for b in batches:
-        ids = [_token_id("\0".join(_key(path, text) for path, outside, text in blocks(page) if text is not None and not outside)) for page in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), b.column(0), b.column(1)], schema=_pages)
-
-
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial sums of the occurrence vectors: weights of a page times counts, for each token of a host.
-
-    ``chars`` counts text outside of menus and the like: of an element what stands in it directly, of a text block its own at ``up``.
-    """
-    held: dict[tuple[str, int], list] = {}
-
-    def out() -> pa.RecordBatch:
-        rows = [(h, t, *v) for (h, t), v in held.items()]
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _sums, strict=True)], schema=_sums)
-
-    for b in batches:
-        ids = np.array(b.column(0).to_pylist(), np.int64).view(np.uint64)
-        w1 = (mix(ids, 1) >> np.uint64(34)).astype(np.int64).tolist()
-        w2 = (mix(ids, 2) >> np.uint64(34)).astype(np.int64).tolist()
-        for i, (host, page) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-            seen: dict[str, list] = {}
-            for path, outside, text in blocks(page):
-                if text is None:
-                    got = seen.setdefault(_key(path), [0, 0, None])
-                    got[0] += 1
-                else:
-                    place = _key(path)
-                    got = seen.setdefault(_key(path, text), [0, 0, place])
-                    got[0] += 1
-                    if not outside:
-                        got[1] += len(text)
-                        seen.setdefault(place, [0, 0, None])[1] += len(text)
-            seen.setdefault("", [0, 0, None])[0] = 1
-            for key, (n, chars, place) in seen.items():
-                at = (host, _token_id(key))
-                got = held.get(at)
-                if got is None:
-                    held[at] = [key if place is None else None, w1[i] * n, w2[i] * n, 1, n, chars, None if place is None else _token_id(place)]
-                else:
-                    got[1] += w1[i] * n
-                    got[2] += w2[i] * n
-                    got[3] += 1
-                    got[4] += n
-                    got[5] += chars
-            if len(held) > 100_000:
-                yield out()
-    if held:
-        yield out()
+def page_tokens(page: str | None) -> tuple[int, list[tuple]]:
+    """The digest of a page's text blocks outside of menus and the like, and its tokens; of an element the text that stands in it directly counts."""
+    seen: dict[str, list] = {"": ["", None, 1, 0, 0]}
+    words: list[str] = []
+    for path, outside, text, links in blocks(page):
+        place = _key(path)
+        if text is None:
+            seen.setdefault(place, [place, None, 0, 0, 0])[2] += 1
+            continue
+        got = seen.setdefault(_key(path, text), [None, _token_id(place), 0, 0, 0])
+        got[2] += 1
+        if not outside:
+            words.append(_key(path, text))
+            for t in (got, seen.setdefault(place, [place, None, 0, 0, 0])):
+                t[3] += len(text)
+                t[4] += min(links, len(text))
+    return _token_id("\0".join(words)), [(_token_id(k), *t) for k, t in seen.items()]
+
+
+_pages = pa.schema([("host", pa.string()), ("digest", pa.int64()), ("tokens", pa.list_(_token))])
+
+
+def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
+        found = [page_tokens(p) for p in b.column(1).to_pylist()]
+        rows = [t for _, tokens in found for t in tokens]
+        bounds = [0]
+        for _, tokens in found:
+            bounds.append(bounds[-1] + len(tokens))
+        flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _token, strict=True)], fields=list(_token))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d for d, _ in found], pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat)], schema=_pages)
+
+
+@dataclass
+class Template:
+    """Paths of the content and menu slots, ids of the template's own text blocks."""
+
+    content: list[str]
+    menus: list[str]
+    own: list[int]
+
+
+def _within(path: str, root: str) -> bool:
+    return not root or path == root or path.startswith(root + ">")
+
+
+def nest(tokens: list[dict], n_pages: int, min_pages: int) -> Template | None:
+    """The template of a host from its tokens on enough pages: token, path, up, w1, w2, pages, total, chars, links."""
+    classes: dict[tuple, list[dict]] = defaultdict(list)
+    for t in tokens:
+        classes[t["w1"], t["w2"], t["pages"], t["total"]].append(t)
+    valid = [t for c in classes.values() for t in c if t["total"] == t["pages"] or len(c) > 1]
+    frame = {t["path"]: t for t in valid if t["path"]}
+    if not frame:
+        return None
+    # nested by path: a place belongs to the deepest template element around it
+    elements = {t["token"]: t["path"] for t in tokens if t["path"] is not None}
+    texts = [t for t in valid if t["path"] is None and t["total"] == t["pages"]]
+
+    def slot(path: str) -> str:
+        while path and path not in frame:
+            path = path.rpartition(">")[0]
+        return path
+
+    chars, links, fixed = defaultdict(int), defaultdict(int), defaultdict(int)
+    for t in texts:
+        if t["up"] in elements:
+            fixed[elements[t["up"]]] += t["chars"]
+    for t in tokens:
+        if t["path"] is not None:
+            chars[slot(t["path"])] += max(0, t["chars"] - fixed[t["path"]])
+            links[slot(t["path"])] += t["links"]
+    slots = [s for s in chars if chars[s] > 0]
+    menus = {s for s in slots if 2 * links[s] > chars[s]}
+    slots = [s for s in slots if s not in menus]
+    total = sum(chars[s] for s in slots)
+    content: list[str] = []
+    for kind in ("article", "main"):
+        roots = [p for p in frame if _is(p.rpartition(">")[2], kind) and not any(_is(x, kind) for x in p.split(">")[:-1])]
+        if roots and 2 * sum(chars[s] for s in slots if any(_within(s, r) for r in roots)) >= total:
+            content = roots
+            break
+    if not content and slots:
+        common = slots[0].split(">") if slots[0] else []
+        for s in slots[1:]:
+            steps = s.split(">") if s else []
+            common = [a for i, a in enumerate(common) if steps[: i + 1] == common[: i + 1]]
+        content = [">".join(common)]
+    inside = lambda path: any(_within(path, r) for r in content)
+    own = [t["token"] for t in texts if t["up"] in elements and not inside(elements[t["up"]])]
+    held = [t for t in texts if t["up"] in elements and inside(elements[t["up"]]) and t["pages"] >= max(2 * min_pages, n_pages) and t["chars"]]
+    if 10 * sum(t["chars"] for t in held) < sum(chars[s] for s in chars if inside(s)):
+        own += [t["token"] for t in held]
+    return Template(sorted(content), sorted(m for m in menus if not inside(m)), sorted(own))
+
+
+_found = pa.schema([("host", pa.string()), ("content", pa.list_(pa.string())), ("menus", pa.list_(pa.string())), ("own", pa.list_(pa.int64()))])
+
+
+def _nest(min_pages: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for host, n, tokens in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                t = nest(tokens, n, min_pages)
+                if t:
+                    rows.append((host, t.content, t.menus, t.own))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _found, strict=True)], schema=_found)
+
+    return run
 
 
 def deduce_templates(pages: DataFrame, min_pages: int = 5, share: float = 0.5, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, container (path), own (ids of the template's text blocks): one row per host with a template.
-
-    ``classes`` of a host: tokens with equal vectors (w1, w2, pages, total). A valid
-    class stands once on each page it is on, on at least ``share`` of the host's
-    distinct pages and on ``min_pages``; a class that only repeats another's place is nested in it.
-    """
-    base = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    read = base.select(host_of("url").alias("host"), "html").mapInArrow(_digests, "digest long, host string, html string")
-    distinct = read.groupBy("digest", "host").agg(F.min("html").alias("html"))  # the least of the copies, so that reruns agree
-    sums = distinct.mapInArrow(_vectors, _sums_ddl)
-    tokens = sums.groupBy("host", "token").agg(F.max("path").alias("path"), *[F.sum(c).alias(c) for c in ("w1", "w2", "pages", "total", "chars")], F.max("up").alias("up"))
-    tokens = write_cut(tokens.where("pages > 1 OR path IS NOT NULL"), "vectors")
-    sizes = tokens.where("path = ''").select("host", F.col("pages").alias("n"))
-    common = tokens.join(sizes, "host").where((F.col("pages") >= min_pages) & (F.col("pages") >= share * F.col("n")))
-    often = common.where((F.col("pages") == F.col("total")) & (F.coalesce("path", F.lit("-")) != ""))
-    classes = often.groupBy("host", "w1", "w2", "pages", "total").agg(
-        F.collect_list("path").alias("elements"), F.collect_list(F.when(F.col("path").isNull(), F.col("token"))).alias("own")
-    )  # a valid class has at most a page's number of tokens divided by share
-    frames = classes.groupBy("host").agg(F.flatten(F.collect_list("elements")).alias("elements"), F.flatten(F.collect_list("own")).alias("own"))
-    # a place is an element whose text is not all the template's own; the common start of all places is that of the least and the greatest
-    own = often.where("path IS NULL").groupBy("host", F.col("up").alias("token")).agg(F.sum("chars").alias("own_chars"))
-    places = common.where("path IS NOT NULL").join(own, ["host", "token"], "left").where(F.col("chars") > F.coalesce("own_chars", F.lit(0)))
-    steps = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split("path", ">"))
-    ends = places.groupBy("host").agg(F.min(steps).alias("a"), F.max(steps).alias("b"))
-    held = frames.join(ends, "host", "left")
-    above = F.filter("elements", lambda e: (F.slice("a", 1, F.size(F.split(e, ">"))) == F.split(e, ">")) & (F.slice("b", 1, F.size(F.split(e, ">"))) == F.split(e, ">")))
-    return held.select("host", F.array_max(F.transform(above, lambda e: F.struct(F.length(e).alias("depth"), e.alias("path")))).getField("path").alias("container"), "own")
-
-
-def main_text(page: str | None, container: str | None, own: set[int]) -> str:
-    """The text blocks of the page's content container and its slots elsewhere."""
-    found = [(path, text) for path, outside, text in blocks(page) if text is not None and not outside]
-    article = [x for x in found if any(_is(s, "article") for s in x[0])] or [x for x in found if any(_is(s, "main") for s in x[0])]
-    if article:
-        return "\n".join(t for _, t in article)
-    want = tuple(container.split(">")) if container else ()
-    return "\n".join(t for p, t in found if (want and p[: len(want)] == want) or not own or _token_id(_key(p, t)) not in own)
+    """host, content, menus, own: one row per host with a template."""
+    base = pages.select(host_of(url_col).alias("host"), F.col(f"`{html_col}`").cast("string").alias("html"))
+    read = base.mapInArrow(_page_tokens, f"host string, digest long, tokens array<struct<{_token_ddl.replace(' ', ':').replace(',:', ',')}>>")
+    distinct = read.groupBy("host", "digest").agg(F.min("tokens").alias("tokens"))  # copies differ in menus at most; the least of them, so that reruns agree
+    each = distinct.select("host", "digest", F.inline("tokens"))
+    weight = lambda seed: F.shiftrightunsigned(F.xxhash64(F.lit(seed), "digest"), 34) * F.col("n")
+    tokens = each.groupBy("host", "token").agg(
+        F.max("path").alias("path"), F.max("up").alias("up"), F.sum(weight(1)).alias("w1"), F.sum(weight(2)).alias("w2"), F.count("*").alias("pages"), F.sum("n").alias("total"), F.sum("chars").alias("chars"), F.sum("links").alias("links")
+    )
+    tokens = write_cut(tokens.where(F.col("pages") >= min_pages), "vectors")
+    sizes = tokens.where("path = ''").select("host", F.col("pages").alias("n_pages"))
+    common = tokens.join(sizes, "host").where(F.col("pages") >= share * F.col("n_pages"))
+    # at most a page's number of tokens, divided by share
+    held = common.groupBy("host", "n_pages").agg(F.collect_list(F.struct("token", "path", "up", "w1", "w2", "pages", "total", "chars", "links")).alias("tokens"))
+    return held.mapInArrow(_nest(min_pages), "host string, content array<string>, menus array<string>, own array<long>")
+
+
+def main_text(page: str | None, template: Template | None = None) -> str:
+    """The text blocks of the page's slots by its host's template; without one, or without its content element, by names."""
+    found = [(path, _key(path), text) for path, outside, text, _ in blocks(page) if text is not None and not outside]
+    if template:
+        own = set(template.own)
+        named = any(_is(r.rpartition(">")[2], "article", "main") for r in template.content)
+        inside = [any(_within(k, r) for r in template.content) for _, k, _ in found]
+        if any(inside):
+            return "\n".join(t for (p, k, t), x in zip(found, inside, strict=True) if (x or not named and not any(_within(k, m) for m in template.menus)) and _token_id(_key(p, t)) not in own)
+    for kind in ("article", "main"):
+        some = [t for p, _, t in found if any(_is(s, kind) for s in p)]
+        if some:
+            return "\n".join(some)
+    return "\n".join(t for _, _, t in found)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        cols = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-        texts = [main_text(p, c, set(o or ())) for p, c, o in zip(cols["html"].to_pylist(), cols["container"].to_pylist(), cols["own"].to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([cols["page_id"], cols["url"], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+        cols = [b.column(n).to_pylist() for n in ("html", "content", "menus", "own")]
+        texts = [main_text(p, None if c is None else Template(c, m, o)) for p, c, m, o in zip(*cols, strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
     """page_id, url, text of every row."""
     templates = write_cut(deduce_templates(pages, url_col=url_col, html_col=html_col, **options), "templates")
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    base = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
     # the templates' size is known from the written files: Spark broadcasts them below its threshold and joins by host beyond it
-    joined = base.withColumn("host", host_of("url")).join(templates, "host", "left").select("page_id", "url", "html", "container", "own")
+    joined = base.withColumn("host", host_of("url")).join(templates, "host", "left").select("page_id", "url", "html", "content", "menus", "own")
     return joined.mapInArrow(_extract, "page_id long, url string, text string")
 
 
