@@ -138,7 +138,7 @@ def _compare(threshold: float, tables: int):
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", width: float = 1.0, hashes: int = 6, tables: int = 32, seed: int = 7, block: int = 1024) -> DataFrame:
     """vec_id, n_links, component_id for every row."""
-    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    base = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
     hashed = base.mapInArrow(_hash(tables, hashes, width, seed), "vec_id long, unit binary, keys array<long>")
     rows = write_cut(hashed.withColumn("row_key", F.monotonically_increasing_id()), "vectors")
     # equal vectors are one class: its first row stands for it, its size is its weight

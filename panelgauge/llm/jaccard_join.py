@@ -25,7 +25,8 @@ Defined results
   null id                        ranks after all others; its component is the least non-null id reached, else null
   repeated rows                  equal texts link; each row has its own result
   empty table                    no rows
-  other columns                  ignored
+  very long text                 its whole set, in one row of its blocks
+  other columns                  ignored by the join, passed through by drop_near_duplicates, whatever their names
 """
 
 from __future__ import annotations
@@ -328,7 +329,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be between 50 and 100")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     levels = rarity_levels(base.select("text"), k)
     found = base.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text_hash", "text").mapInArrow(_documents(levels, k, percent), _doc_ddl)
     found = write_cut(found, "prefix")
@@ -361,11 +362,11 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without near-duplicates: of each class the rows with the least doc_id stay (once, if repeated)."""
     found = jaccard_classes(docs, k, percent, id_col, text_col)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    marked = docs.withColumn("__text_hash", F.xxhash64(F.col(text_col).cast("string")))
-    kept = marked.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")))
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash")).distinct()
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("hash"), F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row"))
+    kept = rows.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("hash") == F.col("stay_hash")))
     # rows that repeat id and text: one stays
-    return kept.dropDuplicates(["__id", "__hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.dropDuplicates(["id", "hash"]).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,12 @@ are used up. Within a pattern documents are taken in a seeded order.
 Defined results
   null text            size 0
   null source          a source of its own, ranked last; in an array of sources null entries are dropped, an empty or null array counts as the null source
-  repeated rows        separate documents; equal seeds are ordered by the row's own key
+  null id              a document like any other; null ids share a draw
+  repeated rows        separate documents; equal draws are ordered by id, then by the row's own key
+  very long text       counted whole
   empty table          no rows
   size 0               taken 0
+  other columns        those of ``keep`` come back in the struct ``kept``, whatever their names; the rest is ignored
 The number of patterns and sources is bounded by ``max_patterns`` and checked.
 """
 
@@ -118,6 +121,14 @@ def route(patterns: dict[tuple[str, ...], int], targets: dict[str, float], tiers
     return {k: flow.graph[flow.graph[a][i].to][flow.graph[a][i].back].room for k, (a, i) in links.items()}
 
 
+def take_copies(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs as often as the mix takes them: whole copies, at most ``tiers``; the document at a boundary is rounded."""
+    got, _, _ = mix_sources(docs, sources, id_col, text_col, keep=tuple(docs.columns), **options)
+    copies = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
+    repeated = got.select("kept", F.explode(F.array_repeat(F.lit(1), copies)))
+    return repeated.select(*[F.col("kept").getField(c).alias(c) for c in docs.columns])
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
@@ -126,14 +137,15 @@ def mix_sources(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_c
     """Documents with what the mix takes of each, the targets, and the routing.
 
     ``sources`` is an array column of the sources a document belongs to. The
-    rows have doc_id, row_key, pattern, size, taken and the columns of ``keep``.
+    rows have doc_id, row_key, pattern, size, taken and ``kept``, a struct of the columns of ``keep``.
     ``taken`` per pattern sums to the words routed out of it: whole copies in a
     seeded order, one document cut at the boundary.
     """
     spark = docs.sparkSession
     named = F.array_sort(F.array_distinct(F.filter(sources.cast("array<string>"), lambda x: x.isNotNull())))
     pattern = F.when(F.coalesce(F.size(named), F.lit(0)) < 1, F.array(F.lit(NULL_SOURCE))).otherwise(named)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_count(F.col(text_col)).alias("size"), pattern.alias("pattern"), *[F.col(c) for c in keep]).withColumn("row_key", F.monotonically_increasing_id())
+    kept = F.struct(*[F.col(f"`{c}`").alias(c) for c in keep]) if keep else F.lit(None).cast("struct<none: int>")
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), word_count(F.col(f"`{text_col}`").cast("string")).alias("size"), pattern.alias("pattern"), kept.alias("kept")).withColumn("row_key", F.monotonically_increasing_id())
     base = base.withColumn("draw", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)))
     base = write_cut(base, "mix")
     sums = base.groupBy("pattern").agg(F.sum("size").alias("n")).limit(max_patterns + 1).collect()
@@ -159,7 +171,7 @@ def mix_sources(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_c
     edge = slices.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0))).join(F.broadcast(q), "pattern").where("before <= part AND part < before + n").select("pattern", F.col("slice").alias("edge"), "before")
     marks = q.join(edge, "pattern", "left").withColumns({"edge": F.coalesce("edge", F.lit(FINE)), "before": F.coalesce("before", F.lit(0))})
     known = sliced.join(F.broadcast(marks), "pattern")  # one row per pattern: at most max_patterns
-    extra = ["doc_id", "row_key", "pattern", "size", *keep]
+    extra = ["doc_id", "row_key", "pattern", "size", "kept"]
     below = known.where("slice <> edge").withColumn("taken", F.col("size") * (F.col("whole") + (F.col("slice") < F.col("edge")).cast("int")))
     inside = Window.partitionBy("pattern").orderBy("draw", "doc_id", "row_key").rowsBetween(Window.unboundedPreceding, -1)
     at = known.where("slice = edge").withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
@@ -172,6 +184,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the sources' targets."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got, targets, _ = mix_sources(docs, F.array("source"), keep=("source",))
+    got = got.select("doc_id", "size", "taken", F.col("kept.source").alias("source"))
     per = got.groupBy("source").agg(F.sum("size").alias("source_size"))
     t = spark.createDataFrame([(s, float(x)) for s, x in targets.items()], "t_source string, target double")
     side = F.broadcast(per.join(t, F.col("source").eqNullSafe(F.col("t_source"))).select(F.col("source").alias("s"), "source_size", "target"))  # one row per source, bounded by max_patterns

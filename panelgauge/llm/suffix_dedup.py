@@ -23,13 +23,13 @@ Defined results
   null id            ranks after all others; equal ids never remove from each other
   short texts        shorter than ``length``: nothing is removed
   repeated rows      rows of the same id have the same result
+  very long texts    a block of their own; a suffix reads ``length`` bytes, however long its text
   empty table        no rows
-  other columns      ignored
+  other columns      ignored, whatever their names
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, write_cut
+from .common import mix, scratch_table, write_cut
 
 GRAM = 20
 LAST_ID = np.iinfo(np.int64).max
@@ -381,11 +381,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     if not 48 <= length <= 180:
         raise ValueError("length must be between 48 and 180 bytes")
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("text"))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.encode(F.col(f"`{text_col}`").cast("string"), "UTF-8").alias("text"))
     total = base.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
     bits = max(3, min(16, int(n_blocks - 1).bit_length()))  # about as many buckets as blocks
-    table = f"repeat_blocks_{uuid.uuid4().hex}"
+    table = scratch_table(spark, "repeat_blocks")
     laid = base.mapInArrow(_lay(block_bytes), "g long, ids binary, ends binary, data binary")
     laid.write.option("compression", "zstd").bucketBy(max(8, min(4096, n_blocks // 4)), "g").saveAsTable(table)
     blocks = spark.table(table)
