@@ -2,6 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir); ``run`` writes every stage's result as
 Parquet in the shared folder and reads it as the next one's docs.
+
+Defined results of all stages
+  null or empty text   rejected by the quality rules; later stages given one keep it as it is (packing: the end id alone)
+  null id              ranks after all others
+  repeated rows        judged alike by the rules; line dedup gives them one result, the near-duplicate join keeps one
+  very long text       whole texts everywhere
+  empty table          no rows
+  other columns        passed through up to the mix, whatever their names; packing returns pieces only
 """
 
 from __future__ import annotations
@@ -12,7 +20,7 @@ from pyspark.sql import functions as F
 from panelgauge.llm.common import write_cut
 from panelgauge.llm.jaccard_join import drop_near_duplicates
 from panelgauge.llm.line_dedup import drop_repeated_lines
-from panelgauge.llm.mixing import mix_sources
+from panelgauge.llm.mixing import take_copies
 from panelgauge.llm.packing import pack
 from panelgauge.llm.quality import filter_documents
 
@@ -34,10 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: whole copies, at most two; the document at a boundary is rounded."""
-    got, _, _ = mix_sources(docs, F.array("source"), keep=tuple(c for c in docs.columns if c != "doc_id"))
-    copies = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
-    repeated = got.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies)))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return take_copies(docs, F.array("source"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
