@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import write_cut
-from .tokens import CACHE_PARTS, default_vocabulary, encoder
+from .tokens import CACHE_PARTS, default_vocabulary, encoder, with_end
 
 _out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("level", pa.int32()), ("ids", pa.binary())])
 _ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, level int, ids binary"
@@ -108,14 +108,17 @@ def _first_id(level: int) -> int:
 
 def _pack(vocabulary: str, end_id: int, size: int, open_windows: int, cache_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail = encoder(vocabulary, cache_parts), end_id.to_bytes(4, "little")
+        enc = encoder(vocabulary, cache_parts)
         w = Windows(size, open_windows, _first_id(0), 0)
         for b in batches:
-            for doc, ids in zip(b.column(0).to_pylist(), enc.stream(b.column(1).to_pylist()), strict=True):
-                ids += tail
-                w.add(doc, 0, len(ids) // 4, ids)
-            if w.rows:
-                yield w.take()
+            docs = b.column(0).to_pylist()
+            for at, end, ids, bounds in enc.stream(b.column(1)):
+                ids, bounds = with_end(ids, bounds, end_id)
+                raw, cuts = ids.astype("<u4", copy=False).tobytes(), (4 * bounds).tolist()
+                for doc, x, y in zip(docs[at:end], cuts, cuts[1:], strict=False):
+                    w.add(doc, 0, (y - x) // 4, raw[x:y])
+                if w.rows:
+                    yield w.take()
         w.leave()
         if w.rows:
             yield w.take()
@@ -142,7 +145,7 @@ def pack(docs: DataFrame, size: int = 2048, open_windows: int = 16, vocabulary:
     A task carries at most ``open_windows`` windows; a merge task reads at most
     ``fan_in`` times as many. ``cache_parts``: encoded words that a worker keeps (memory only).
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     stage = write_cut(base.mapInArrow(_pack(vocabulary or default_vocabulary(), end_id, size, open_windows, cache_parts), _ddl).withColumn("part", F.spark_partition_id()), "packed")
     done = [stage.where("ids IS NULL")]
     rest = stage.where("ids IS NOT NULL")

@@ -6,15 +6,17 @@ after the other. Trailing ASCII marks after a letter and ASCII capitals are
 split off first, since the vocabulary's own rules separate the former and lower
 the latter. Words of letters are handed to the library many at a time; the ids
 that end a word (their token ends with the vocabulary's word-end suffix) cut its
-answer. Tests compare this with the library's ids of whole texts.
+answer. Known words stay in Arrow and numpy arrays, so no Python object is made
+for a word. When an encoder opens, probes of all these rules are compared with
+the library's ids of whole texts; a vocabulary that follows other rules is
+encoded by whole texts.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +24,12 @@ import pyarrow.compute as pc
 
 from .common import WORKER_CACHES
 
-#: Distinct parts that a worker keeps; a full cache is emptied (memory only, results don't change).
+#: Distinct parts that a worker keeps; a full table is emptied (memory only, results don't change).
 CACHE_PARTS = 1_000_000
 #: Characters that form tokens of their own class after a letter, and never change or join it.
 _MARKS = "!#$%&*+,-./:;=?@_~"
+_TAIL = r"^.*?([!#$%&*+,\-./:;=?@_~]+)$"
+_PROBES = ["Some Words, of THE text.", "It's a state-of-the-art... \n test_case\n\nx", "Été ÉTÉ straße, naïve; a1 1a 3.14", "a\tb  c!? (d) [e] \"f\" ~g~ #h @i", "日本 ไทย İI ΑΣ.", "IT'S we'LL. a'S!! ''s"]
 _open: dict[str, "Encoder"] = {}
 WORKER_CACHES.append(_open)
 
@@ -36,6 +40,13 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first[i], first[i] + 1, ... (size[i] of them) for each i, one after the other."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(first - (ends - size), size) + np.arange(total)
+
+
 class Encoder:
     def __init__(self, path: str):
         self.most = CACHE_PARTS
@@ -45,90 +56,124 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             suffix = json.load(f)["model"].get("end_of_word_suffix") or ""
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.n_ids = self.tokenizer.get_vocab_size()
+        self.ends = np.zeros(self.n_ids, bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends[i] = bool(suffix) and token.endswith(suffix)
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def one(self, part: str) -> bytes:
-        got = self.tokenizer.encode(part, add_special_tokens=False).ids
-        return struct.pack(f"<{len(got)}I", *got)
-
-    def words(self, words: list[str]) -> list[bytes]:
-        """The ids of words of letters only."""
-        out: list[bytes] = []
-        runs = [words[at : at + 250] for at in range(0, len(words), 250)]
-        answers = self.tokenizer.encode_batch_fast([" ".join(some) for some in runs], add_special_tokens=False)
-        for some, answer in zip(runs, answers, strict=True):
-            ids = np.array(answer.ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(some) or (len(cuts) and cuts[-1] != len(ids)):
-                out += map(self.one, some)
-                continue
-            raw, ends = ids.tobytes(), (cuts * 4).tolist()
-            out += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        self.clear()
+        self.by_words = True
+        ids, ends = self.coded(pa.array(_PROBES, pa.large_string()))
+        self.by_words = all(ids[a:b].tolist() == self.one(t) for t, a, b in zip(_PROBES, ends, ends[1:], strict=False))
+
+    def clear(self) -> None:
+        """Forget the known words: word i has the ids ids[first[i] : first[i] + size[i]]."""
+        self.words = pa.array([""], pa.large_string())
+        self.ids, self.first, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def one(self, part: str) -> list[int]:
+        return self.tokenizer.encode(part, add_special_tokens=False).ids
+
+    def _letters(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of words of letters only."""
+        n = len(words)
+        starts = [*range(0, n, 250), n]
+        runs = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), words), pa.scalar(" ", pa.large_string())).to_pylist()
+        ids, sizes = [], []
+        for i, answer in enumerate(self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)):
+            got = np.array(answer.ids, np.uint32)
+            cuts = np.flatnonzero(self.ends[got]) + 1
+            if len(cuts) != starts[i + 1] - starts[i] or (len(cuts) and cuts[-1] != len(got)):
+                each = [self.one(w) for w in words[starts[i] : starts[i + 1]].to_pylist()]
+                got, sizes_here = np.array([x for e in each for x in e], np.uint32), np.array([len(e) for e in each], np.int64)
+            else:
+                sizes_here = np.diff(np.r_[0, cuts])
+            ids.append(got)
+            sizes.append(sizes_here)
+        return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _add(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Keep the words; their numbers."""
+        at = len(self.words)
+        self.first = np.r_[self.first, len(self.ids) + np.cumsum(sizes) - sizes]
+        self.size = np.r_[self.size, sizes]
+        self.ids = np.r_[self.ids, ids]
+        self.words = pa.concat_arrays([self.words, words])
+        return np.arange(at, len(self.words))
+
+    def _place(self, words: pa.Array) -> np.ndarray:
+        """The number of each word among the known ones, -1 for others."""
+        return pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def learn(self, missing: pa.Array) -> np.ndarray:
+        """Keep distinct words that are not known yet, and their stems; the words' numbers."""
+        out = np.zeros(len(missing), np.int64)
+        stems = pc.utf8_rtrim(missing, characters=_MARKS)
+        letters = pc.utf8_is_alpha(stems)
+        odd = missing.filter(pc.invert(letters))
+        rows = np.flatnonzero(letters.to_numpy(zero_copy_only=False))
+        if len(odd):
+            each = [self.one(w) for w in odd.to_pylist()]
+            out[~letters.to_numpy(zero_copy_only=False)] = self._add(odd, np.array([x for e in each for x in e], np.uint32), np.array([len(e) for e in each], np.int64))
+            missing, stems = missing.filter(letters), stems.filter(letters)
+        if not len(missing):
+            return out
+        low = pc.if_else(pc.string_is_ascii(stems), pc.ascii_lower(stems), stems)
+        coded = low.dictionary_encode()
+        place = self._place(coded.dictionary)
+        fresh = np.flatnonzero(place < 0)
+        words = coded.dictionary.take(pa.array(fresh))
+        place[fresh] = self._add(words, *self._letters(words))
+        at = place[coded.indices.to_numpy()]
+        out[rows] = at
+        rest = np.flatnonzero(pc.not_equal(missing, low).to_numpy(zero_copy_only=False))
+        if not len(rest):
+            return out
+        pick = pa.array(rest)
+        missing, stems, at = missing.take(pick), stems.take(pick), at[rest]
+        marked = pc.less(pc.binary_length(stems), pc.binary_length(missing))
+        tails = pc.if_else(marked, pc.replace_substring_regex(missing, _TAIL, r"\1"), pa.scalar("", pa.large_string())).dictionary_encode()
+        each = [self.one(t) for t in tails.dictionary.to_pylist()]
+        tail_size = np.array([len(e) for e in each], np.int64)
+        tail_ids = np.array([x for e in each for x in e], np.uint32)
+        tail_first = np.cumsum(tail_size) - tail_size
+        t = tails.indices.to_numpy()
+        a, b = self.size[at], tail_size[t]
+        ids = np.empty(int((a + b).sum()), np.uint32)
+        first = np.cumsum(a + b) - (a + b)
+        ids[ranges(first, a)] = self.ids[ranges(self.first[at], a)]
+        ids[ranges(first + a, b)] = tail_ids[ranges(tail_first[t], b)]
+        out[rows[rest]] = self._add(missing, ids, a + b)
         return out
 
-    def learn(self, missing: list[str]) -> None:
-        known = self.parts
-        plain = [p for p in missing if p.isalpha() and (p.islower() or not p.isascii())]
-        stems = dict.fromkeys(plain)
-        cut: list[tuple[str, str, str]] = []
-        if len(plain) < len(missing):
-            for part in missing:
-                if part in stems:
-                    continue
-                stem = part.rstrip(_MARKS)
-                if not stem.isalpha():
-                    known[part] = self.one(part)
-                    continue
-                low, tail = stem.lower() if stem.isascii() else stem, part[len(stem) :]
-                cut.append((part, low, tail))
-                if low not in known:
-                    stems[low] = None
-                if tail not in known:
-                    known[tail] = self.one(tail)
-        todo = list(stems)
-        known.update(zip(todo, self.words(todo), strict=True))
-        for part, low, tail in cut:
-            known[part] = known[low] + known[tail] if tail else known[low]
-
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each whole text as little-endian unsigned 32-bit integers; nothing for null."""
-        lists = pc.split_pattern(pc.replace_substring(pa.array([t or "" for t in texts], pa.large_string()), "\n", " "), " ")
-        coded = lists.flatten().dictionary_encode()
-        words, at, bounds = coded.dictionary.to_pylist(), coded.indices.to_numpy(), lists.offsets.to_numpy()
-        known = self.parts
-        missing = [w for w in words if w not in known]
-        if len(known) + len(missing) > self.most:
-            known.clear()
-            known[""] = b""
-            missing = words
-        if missing:
-            self.learn(missing)
-        parts = list(map(known.__getitem__, words))
-        # the ids of the distinct parts once, then a gather: word by word, each part's run of ids
-        once = np.frombuffer(b"".join(parts), "<u4")
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
-        first = np.cumsum(size) - size
-        n = size[at]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        ids = once[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])]
-        cuts = ends[bounds].tolist()
-        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def stream(self, texts: Iterable[str | None], chars: int = 3_000_000) -> Iterator[bytes]:
-        """batch() over runs of texts of about so many characters."""
-        some: list[str | None] = []
-        size = 0
-        for t in texts:
-            some.append(t)
-            size += len(t or "")
-            if size >= chars:
-                yield from self.batch(some)
-                some, size = [], 0
-        if some:
-            yield from self.batch(some)
+    def coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts on end, and the bounds of each text's ids among them (one more than texts); nothing for null."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.by_words:
+            each = [x.ids for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([x for e in each for x in e], np.uint32), np.cumsum([0, *map(len, each)])
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        place = self._place(words.dictionary)
+        fresh = np.flatnonzero(place < 0)
+        if len(fresh):
+            if len(self.words) + len(fresh) > self.most:
+                self.clear()
+                place = self._place(words.dictionary)
+                fresh = np.flatnonzero(place < 0)
+            place[fresh] = self.learn(words.dictionary.take(pa.array(fresh)))
+        at = place[words.indices.to_numpy()]
+        size = self.size[at]
+        ends = np.r_[0, np.cumsum(size)]
+        return self.ids[ranges(self.first[at], size)], ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+
+    def stream(self, texts: pa.Array, most_bytes: int = 8_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, end row, *coded()) over runs of rows of about so many bytes of text."""
+        size = np.r_[0, np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))]
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(size, size[at] + most_bytes, "right")) - 1)
+            yield at, end, *self.coded(texts[at:end])
+            at = end
 
 
 def encoder(path: str, most: int = CACHE_PARTS) -> Encoder:
@@ -137,3 +182,14 @@ def encoder(path: str, most: int = CACHE_PARTS) -> Encoder:
         _open[path] = Encoder(path)
     _open[path].most = most
     return _open[path]
+
+
+def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with ``end_id`` after each text's ids."""
+    n = len(bounds) - 1
+    out = np.full(len(ids) + n, end_id, np.uint32)
+    stays = np.ones(len(out), bool)
+    after = bounds + np.arange(n + 1)
+    stays[after[1:] - 1] = False
+    out[stays] = ids
+    return out, after
