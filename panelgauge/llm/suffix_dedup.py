@@ -384,10 +384,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.encode(F.col(f"`{text_col}`").cast("string"), "UTF-8").alias("text"))
     total = base.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
-    bits = max(3, min(16, int(n_blocks - 1).bit_length()))  # about as many buckets as blocks
+    bits = max(3, min(31, int(n_blocks - 1).bit_length()))  # about as many buckets as blocks, so that a bucket does not grow with the corpus
     table = scratch_table(spark, "repeat_blocks")
     laid = base.mapInArrow(_lay(block_bytes), "g long, ids binary, ends binary, data binary")
-    laid.write.option("compression", "zstd").bucketBy(max(8, min(4096, n_blocks // 4)), "g").saveAsTable(table)
+    laid.write.option("compression", "zstd").bucketBy(max(8, min(100_000, n_blocks // 4)), "g").saveAsTable(table)
     blocks = spark.table(table)
     keys = blocks.mapInArrow(_send_keys(length, bits), "bucket long, g long, keys binary")
     answers = keys.groupBy("bucket").applyInArrow(_shared_keys, "g long, bucket long, keys binary")
