@@ -1,191 +1,142 @@
-"""Laplace fits of binary, ordinal and nominal outcomes on bounded panels (dense, in one task).
+"""Discrete outcomes: a panel is collapsed by Spark to counted rows, fitted by the Laplace engine and checked by importance sampling.
 
-Identical rows (same groups, same label) are collapsed to counts first, which is
-exact for the likelihood. Row and dimension limits are the documented controls.
+Identical rows (same groups, same labels) are collapsed to counts first, which is
+exact for the likelihood; what reaches the driver is bounded by the documented controls.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import normal_cdf
-from ..spec import Control, Design, Family, SpecError
-from .fit import _bfgs
-
-#: Residual variance of the link (fixed values).
-LINK_RESIDUAL = {"probit": 1.0, "logit": np.pi**2 / 3}
-
-
-@dataclass
-class DiscreteFit:
-    design: Design
-    family: Family
-    levels: tuple
-    variances: dict[str, float]
-    thresholds: np.ndarray
-    nll: float
-    accepted: bool
-    mode: np.ndarray  # standardised random effects at the conditional mode
-    hessian: np.ndarray  # of the penalised likelihood there
-    loading: np.ndarray  # row x dimension x effect: eta of one unit of each effect
-    code: np.ndarray
-    counts: np.ndarray
-
-
-def collapse(panel: DataFrame, design: Design, outcome: str, family: Family, control: Control = Control()) -> tuple[tuple, list]:
-    """Levels, and one row for each group combination and label with its count (bounded, collected)."""
-    seen = [r[0] for r in panel.select(outcome).distinct().limit(1000).collect()]
-    levels = family.levels or tuple(sorted(seen))
-    if set(seen) - set(levels):
-        raise SpecError(f"labels outside the declared levels: {set(seen) - set(levels)}")
-    if set(levels) - set(seen):
-        raise SpecError("a declared level does not occur")
+from ..spec import CALL, Control, Design, Family, SpecError
+from .laplace import LaplaceFit, Problem, blocks_of, fit_problem
+
+DEFAULT_LEVELS = 1000
+
+
+def resolve_levels(panel: DataFrame, outcome: str, family: Family) -> tuple:
+    """The declared levels, or those seen in ascending order; every row's label must be one of them and each of them must occur."""
+    counts = panel.groupBy(outcome).agg(F.count("*").alias("n"))
+    if family.levels is None:
+        seen = [r[0] for r in counts.select(outcome).limit(DEFAULT_LEVELS + 1).collect()]
+        if len(seen) > DEFAULT_LEVELS:
+            raise SpecError(f"more than {DEFAULT_LEVELS} labels and none declared")
+        levels = tuple(sorted(seen))
+    else:
+        levels = tuple(family.levels)
+        odd = [r[0] for r in counts.where(F.col(outcome).isNull() | ~F.col(outcome).isin(*levels)).limit(5).collect()]
+        if odd:
+            raise SpecError(f"labels outside the declared levels: {odd}")
+        lost = set(levels) - {r[0] for r in counts.select(outcome).collect()}  # at most the declared levels
+        if lost:
+            raise SpecError(f"a declared level does not occur: {sorted(map(str, lost))}")
     if (family.family == "binary") != (len(levels) == 2):
         raise SpecError("binary needs two levels, ordinal and categorical three or more")
-    rows = panel.groupBy(*design.variables, outcome).agg(F.count("*").alias("n")).limit(control.max_rows_discrete + 1).collect()
+    if family.reference is not None:
+        if family.reference not in levels:
+            raise SpecError("the reference is no level")
+        levels = (family.reference, *[x for x in levels if x != family.reference])
+    return levels
+
+
+def collapse(panel: DataFrame, design: Design, outcome: str | list[str], family: Family | list[Family], control: Control = Control()) -> tuple[tuple, list]:
+    """Levels (of each outcome), and one row for each group combination and labels with its count (bounded, collected)."""
+    outcomes, families = ([outcome], [family]) if isinstance(outcome, str) else (list(outcome), list(family))
+    levels = tuple(resolve_levels(panel, o, f) for o, f in zip(outcomes, families, strict=True))
+    rows = panel.groupBy(*design.variables, *outcomes).agg(F.count("*").alias("n")).limit(control.max_rows_discrete + 1).collect()
     if len(rows) > control.max_rows_discrete:
-        raise SpecError("too many rows for the discrete engine")
-    return tuple(levels), rows
-
-
-def _log_interval(link: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """log(F(b) - F(a)), on the side where the difference does not cancel."""
-    if link == "logit":
-        swap = a > 0
-        lo, hi = np.where(swap, -b, a), np.where(swap, -a, b)
-        with np.errstate(over="ignore", invalid="ignore"):
-            width = np.where(np.isinf(lo) | np.isinf(hi), 0.0, np.log(-np.expm1(np.minimum(lo - hi, -1e-300))))
-            f = np.where(np.isposinf(hi), 0.0, -np.log1p(np.exp(-hi)))
-            g = np.where(np.isneginf(lo), 0.0, -np.log1p(np.exp(lo)))
-        return width + f + g
-    swap = a > 0
-    lo, hi = np.where(swap, -b, a), np.where(swap, -a, b)
-    return np.log(np.maximum(normal_cdf(hi) - normal_cdf(lo), 1e-300))
-
-
-def row_nll(family: Family, eta: np.ndarray, code: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
-    """Negative log probability of each row; eta has one column, or one per contrast for nominal outcomes."""
-    if family.family == "categorical":
-        z = np.concatenate([np.zeros((len(eta), 1)), eta + thresholds], 1)
-        top = z.max(1)
-        return top + np.log(np.exp(z - top[:, None]).sum(1)) - z[np.arange(len(code)), code]
-    cuts = np.r_[-np.inf, thresholds, np.inf]
-    return -_log_interval(family.link, cuts[code] - eta[:, 0], cuts[code + 1] - eta[:, 0])
-
-
-def fit_laplace(rows: list, design: Design, outcome: str, family: Family, levels: tuple, control: Control = Control()) -> DiscreteFit:
-    """Penalised Newton for the conditional mode inside, BFGS with numeric slopes on log standard deviations and thresholds outside."""
-    design = design.resolve(family.family) if ":".join(design.variables) in design.terms else design
-    code = np.array([levels.index(r[outcome]) for r in rows])
-    n = np.array([r["n"] for r in rows], float)
-    k = len(levels)
-    dims = k - 1 if family.family == "categorical" else 1
-    groups, sizes = {}, {}
+        raise SpecError(f"more than {control.max_rows_discrete} distinct rows for the discrete engine")
+    return (levels[0] if isinstance(outcome, str) else levels), rows
+
+
+def problem_of(rows: list, design: Design, outcomes: list[str], families: list[Family], levels: list[tuple], covariance: dict[str, str] | None = None, control: Control = Control()) -> Problem:
+    """Codes, counts and groups of the collapsed rows."""
+    number = [{x: k for k, x in enumerate(lv)} for lv in levels]
+    codes = np.array([[number[k][r[o]] for k, o in enumerate(outcomes)] for r in rows], np.int64).reshape(-1, len(outcomes))
+    groups = {}
     for s, members in design.terms.items():
-        codes: dict = {}
-        groups[s] = np.array([codes.setdefault(tuple(r[m] for m in members), len(codes)) for r in rows])
-        sizes[s] = len(codes)
-    total = sum(sizes.values()) * dims
-    if total > control.max_random_dim * dims:
-        raise SpecError("too many random effects for the dense engine")
-    names = list(design.terms)
-    off = np.cumsum([0, *[sizes[s] * dims for s in names]])
-    z = np.zeros((len(rows), dims, total))
-    for i, s in enumerate(names):
-        for q in range(dims):
-            z[np.arange(len(rows)), q, off[i] + groups[s] * dims + q] = 1.0
-    share = np.array([n[code == c].sum() for c in range(k)]) / n.sum()
-    if family.family == "categorical":
-        start = np.log(share[1:] / share[0])
-    else:
-        cum = np.cumsum(share)[:-1]
-        start = np.log(cum / (1 - cum)) * (1.0 if family.link == "logit" else 0.6)
-    mode = np.zeros(total)
-    last: dict[str, np.ndarray] = {}
-
-    def unpack(x):
-        t = x[len(names):].copy()
-        if family.family != "categorical" and len(t) > 1:
-            t[1:] = t[0] + np.cumsum(np.exp(t[1:]))
-        return np.exp(np.clip(x[: len(names)], -8, 5)), t
-
-    def laplace(x):
-        sd, t = unpack(x)
-        scale = np.concatenate([np.full(sizes[s] * dims, sd[i]) for i, s in enumerate(names)])
-        zs = z * scale
-        u = mode.copy()
-        h = 1e-4
-
-        def parts(u):
-            eta = zs @ u
-            base = row_nll(family, eta, code, t)
-            g = np.zeros((len(rows), dims))
-            w = np.zeros((len(rows), dims, dims))
-            e = np.eye(dims) * h
-            up = [row_nll(family, eta + e[a], code, t) for a in range(dims)]
-            dn = [row_nll(family, eta - e[a], code, t) for a in range(dims)]
-            for a in range(dims):
-                g[:, a] = (up[a] - dn[a]) / (2 * h)
-                w[:, a, a] = (up[a] - 2 * base + dn[a]) / h**2
-                for b in range(a):
-                    w[:, a, b] = w[:, b, a] = (row_nll(family, eta + e[a] + e[b], code, t) - up[a] - up[b] + base) / h**2
-            return base, g, w
-
-        for _ in range(60):
-            base, g, w = parts(u)
-            grad = np.einsum("r,ra,raj->j", n, g, zs) + u
-            hess = (zs * n[:, None, None]).reshape(-1, total).T @ np.einsum("rab,rbj->raj", w, zs).reshape(-1, total) + np.eye(total)
-            step = np.linalg.solve(hess, grad)
-            value = n @ base + 0.5 * u @ u
-            size = 1.0
-            while size > 1e-8:
-                v = u - size * step
-                if n @ row_nll(family, zs @ v, code, t) + 0.5 * v @ v <= value + 1e-12:
-                    break
-                size /= 2
-            u = v
-            if np.abs(size * step).max() < 1e-7:
-                break
-        mode[:] = u
-        base, _, w = parts(u)
-        hess = (zs * n[:, None, None]).reshape(-1, total).T @ np.einsum("rab,rbj->raj", w, zs).reshape(-1, total) + np.eye(total)
-        sign, ld = np.linalg.slogdet(hess)
-        last.update(hessian=hess, loading=zs)
-        return n @ base + 0.5 * u @ u + 0.5 * ld if sign > 0 else np.inf
-
-    def f(x):
-        value = laplace(x)
-        g = np.zeros(len(x))
-        for i in range(len(x)):
-            e = np.zeros(len(x))
-            e[i] = 1e-3
-            g[i] = (laplace(x + e) - laplace(x - e)) / 2e-3
-        return value, g
-
-    t0 = start.copy()
-    if family.family != "categorical" and len(t0) > 1:
-        t0[1:] = np.log(np.diff(start))
-    x, value, g, _ = _bfgs(f, np.r_[np.full(len(names), np.log(0.5)), t0], 1e-6, 25)
-    sd, t = unpack(x)
-    laplace(x)  # the mode of the parameters returned
-    return DiscreteFit(design, family, levels, {s: float(sd[i] ** 2) for i, s in enumerate(names)}, t, float(value), bool(np.isfinite(value) and np.abs(g).max() < 0.05 * (1 + abs(value)) ** 0.5), mode.copy(), last["hessian"], last["loading"], code, n)
-
-
-def latent_coefficient(fit: DiscreteFit, counts: dict[str, int], kind: str = "Erho2") -> float | None:
-    """G or Phi on the latent scale, with the link's residual."""
+        known: dict = {}
+        groups[s] = np.array([known.setdefault(tuple(r[m] for m in members), len(known)) for r in rows], np.int64)
+    unknown = set(covariance or {}) - set(groups)
+    if unknown:
+        raise SpecError(f"covariance names no source: {sorted(unknown)}")
+    return Problem(codes, np.array([r["n"] for r in rows], float), groups, blocks_of({o: (f, lv) for o, f, lv in zip(outcomes, families, levels, strict=True)}), covariance, control)
+
+
+def fit_laplace(rows: list, design: Design, outcome: str | list[str], family: Family | list[Family], levels: tuple, control: Control = Control(), covariance: dict[str, str] | None = None, restart: bool = True, information: bool = True) -> LaplaceFit:
+    """Fit collapsed rows: one outcome, or several that share the sources. ``covariance``: unstructured, diagonal or exchangeable by source."""
+    single = isinstance(outcome, str)
+    outcomes, families, levels = ([outcome], [family], [levels]) if single else (list(outcome), list(family), list(levels))
+    full = ":".join(design.variables)
+    design = design.resolve(families[0].family) if full in design.terms else design
+    return fit_problem(problem_of(rows, design, outcomes, families, levels, covariance, control), design, restart, information)
+
+
+def fit_discrete(panel: DataFrame, design: Design, outcome: str | list[str], family: Family | list[Family], control: Control = Control(), covariance: dict[str, str] | None = None) -> LaplaceFit:
+    """Collapse and fit a panel."""
+    levels, rows = collapse(panel, design, outcome, family, control)
+    return fit_laplace(rows, design, outcome, family, levels, control, covariance)
+
+
+def latent_coefficient(fit: LaplaceFit, counts: dict[str, int], kind: str = "Erho2", latent: int = 0) -> float | None:
+    """G or Phi of one latent value, with the link's residual."""
+    u, e = latent_parts(fit, counts, kind)
+    total = u[latent, latent] + e[latent, latent]
+    return float(u[latent, latent] / total) if total > 0 else None
+
+
+def latent_parts(fit: LaplaceFit, counts: dict[str, int], kind: str = "Erho2") -> tuple[np.ndarray, np.ndarray]:
+    """Universe and error covariance of the latent values at one allocation."""
     from .fit import weights
 
-    w = weights(fit.design, counts)
-    at = fit.variances | {"Residual": LINK_RESIDUAL.get(fit.family.link, np.pi**2 / 6)}
-    col = 1 if kind == "Erho2" else 2
-    u, e = sum(w[s][0] * v for s, v in at.items()), sum(w[s][col] * v for s, v in at.items())
-    return u / (u + e) if u + e > 0 else None
+    if CALL in fit.components:
+        raise SpecError("ordinary coefficients are not defined when the call is a source; use the batch operators")
+    w, col = weights(fit.design, counts), 1 if kind == "Erho2" else 2
+    at = fit.components | {"Residual": fit.residual()}
+    return sum(w[s][0] * m for s, m in at.items()), sum(w[s][col] * m for s, m in at.items())
+
+
+def coefficient_error(fit: LaplaceFit, counts: dict[str, int], kind: str = "Erho2", latent: int = 0) -> float | None:
+    """Delta standard error of ``latent_coefficient``."""
+    from .fit import weights
+
+    if fit.entry_covariance is None:
+        return None
+    u, e = (float(m[latent, latent]) for m in latent_parts(fit, counts, kind))
+    w, col = weights(fit.design, counts), 1 if kind == "Erho2" else 2
+    g = np.array([(w[s][0] * e - u * w[s][col]) / (u + e) ** 2 if i == j == latent else 0.0 for s, i, j in fit.entry_names])
+    return float(np.sqrt(max(0.0, g @ fit.entry_covariance @ g)))
+
+
+def nominal_error(fit: LaplaceFit, counts: dict[str, int], kind: str = "Erho2") -> float | None:
+    """Delta standard error of the mean generalised eigenvalue, by differences along the component entries."""
+    from .fit import weights
+
+    if fit.entry_covariance is None:
+        return None
+    w, col = weights(fit.design, counts), 1 if kind == "Erho2" else 2
+    at = fit.components | {"Residual": fit.residual()}
+
+    def mean(parts) -> float:
+        values = nominal_eigenvalues(sum(w[s][0] * m for s, m in parts.items()), sum(w[s][col] * m for s, m in parts.items()))
+        return np.nan if values is None else float(values.mean())
+
+    g = np.zeros(len(fit.entry_names))
+    for k, (s, i, j) in enumerate(fit.entry_names):
+        side = []
+        for h in (1e-5, -1e-5):
+            m = at[s].copy()
+            m[i, j] += h
+            if i != j:
+                m[j, i] += h
+            side.append(mean(at | {s: m}))
+        g[k] = (side[0] - side[1]) / 2e-5
+    return float(np.sqrt(max(0.0, g @ fit.entry_covariance @ g)))
 
 
 def nominal_eigenvalues(universe: np.ndarray, error: np.ndarray) -> np.ndarray | None:
@@ -200,16 +151,22 @@ def nominal_eigenvalues(universe: np.ndarray, error: np.ndarray) -> np.ndarray |
 
 #: Share of the draws that come from the prior (fixed value); it bounds the weights.
 PRIOR_SHARE = 0.1
+MAX_CHECK_DIM = 3000
 
 
-def log_weights(spark: SparkSession, fit: DiscreteFit, draws: int = 4000, seed: int = 1) -> DataFrame:
+def log_weights(spark: SparkSession, fit: LaplaceFit, draws: int = 4000, seed: int = 1) -> DataFrame:
     """log_weight of each draw from 0.9 Gaussian at the fit's conditional mode and 0.1 prior: the likelihood is the weights' mean.
 
     A draw depends on seed and number only, so retries agree.
     """
-    root = np.linalg.cholesky(fit.hessian)
+    problem = fit.problem
+    if problem.total > MAX_CHECK_DIM:
+        raise SpecError(f"the check takes at most {MAX_CHECK_DIM} random effects")
+    hessian, mode = problem.hessian(fit.x)
+    fixed, factors = problem.unpack(fit.x)
+    root = np.linalg.cholesky(hessian)
     log_det = float(np.log(np.diag(root)).sum())
-    family, thresholds, mode, loading, code, counts, size = fit.family, fit.thresholds, fit.mode, fit.loading, fit.code, fit.counts, len(fit.mode)
+    size = problem.total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -221,13 +178,39 @@ def log_weights(spark: SparkSession, fit: DiscreteFit, draws: int = 4000, seed:
                 gap = root.T @ (u - mode)
                 # densities without the constant that both have
                 proposal = np.logaddexp(np.log(1 - PRIOR_SHARE) + log_det - 0.5 * gap @ gap, np.log(PRIOR_SHARE) - 0.5 * u @ u)
-                out.append(float(-(counts @ row_nll(family, loading @ u, code, thresholds)) - 0.5 * u @ u - proposal))
+                out.append(float(-problem.loss(u, fixed, factors) - proposal))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], names=["log_weight"])
 
     return spark.range(draws).mapInArrow(run, "log_weight double")
 
 
-def laplace_check(spark: SparkSession, fit: DiscreteFit, draws: int = 4000, seed: int = 1) -> DataFrame:
+def gauss_hermite(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and weights for the mean of a function of a standard normal value."""
+    x, w = np.polynomial.hermite_e.hermegauss(n)
+    return x, w / w.sum()
+
+
+MAX_QUADRATURE_DIM = 4
+
+
+def quadrature_check(fit: LaplaceFit, nodes: int = 15, max_evaluations: int = 200_000) -> tuple[float, float]:
+    """Twice the negative log likelihood by Laplace and by adaptive Gauss-Hermite quadrature around the mode, for at most four random effects."""
+    problem = fit.problem
+    if problem.total > MAX_QUADRATURE_DIM or nodes**problem.total > max_evaluations:
+        raise SpecError(f"quadrature takes at most {MAX_QUADRATURE_DIM} random effects and {max_evaluations} evaluations")
+    hessian, mode = problem.hessian(fit.x)
+    fixed, factors = problem.unpack(fit.x)
+    root = np.linalg.cholesky(hessian)
+    x, w = gauss_hermite(nodes)
+    grids = np.stack(np.meshgrid(*[x] * problem.total, indexing="ij"), -1).reshape(-1, problem.total)
+    logs = np.log(np.stack(np.meshgrid(*[w] * problem.total, indexing="ij"), -1).reshape(-1, problem.total)).sum(1)
+    values = np.array([lw + 0.5 * z @ z - problem.loss(mode + np.linalg.solve(root.T, z), fixed, factors) for z, lw in zip(grids, logs, strict=True)])
+    top = values.max()
+    refined = top + np.log(np.exp(values - top).sum()) - np.log(np.diag(root)).sum()
+    return 2 * fit.nll, -2 * float(refined)
+
+
+def laplace_check(spark: SparkSession, fit: LaplaceFit, draws: int = 4000, seed: int = 1) -> DataFrame:
     """One row: twice the negative log likelihood by Laplace and by importance sampling at the fitted parameters, their difference and its Monte Carlo error."""
     got = importance_check(log_weights(spark, fit, draws, seed))
     at, n = F.lit(2 * fit.nll), F.col("draws")

@@ -334,8 +334,10 @@ class Control:
 
     max_axes: int = 12
     max_rows_observed: int = 1000
-    max_rows_discrete: int = 1200
-    max_random_dim: int = 200
+    max_rows_discrete: int = 100_000
+    max_random_dim: int = 40_000
+    max_dense_dim: int = 4000
+    max_bytes: int = 2 << 30
     max_parameters: int = 80
     tolerance: float = 1e-9
     max_iterations: int = 500
