@@ -42,20 +42,34 @@ def exact_cell_total(levels: dict[str, int]) -> int:
 def cell_status(panel: DataFrame, axes: list[str], replicates: int = 1) -> DataFrame:
     """status, cell_count, cell_count_exact: complete, under, over and missing cells. Missing cells are counted, never enumerated."""
     cells = cell_counts(panel, axes)
-    expected = reduce(lambda a, b: a * b, [F.count_distinct(a).cast("decimal(38,0)") for a in axes])
-    status = F.when(F.col("rows") == replicates, "complete").when(F.col("rows") < replicates, "under_replicated").otherwise("over_replicated")
-    seen = cells.groupBy(status.alias("status")).agg(F.count("*").cast("decimal(38,0)").alias("n"))
-    missing = cells.agg(expected.alias("e"), F.count("*").alias("c")).select(F.lit("missing").alias("status"), (F.col("e") - F.col("c")).cast("decimal(38,0)").alias("n"))
-    names = panel.sparkSession.createDataFrame([("complete",), ("under_replicated",), ("over_replicated",), ("missing",)], "status string")
-    both = seen.unionByName(missing).groupBy("status").agg(F.sum("n").alias("n"))
-    out = names.join(F.broadcast(both), "status", "left").withColumn("n", F.coalesce("n", F.lit(0)))  # four rows
-    return out.select("status", F.col("n").cast("double").alias("cell_count"), F.col("n").cast("decimal(38,0)").cast("string").alias("cell_count_exact"))
+    hit = lambda c: F.sum(c.cast("long"))
+    one = cells.agg(
+        F.count("*").alias("cells"), hit(F.col("rows") == replicates).alias("complete"), hit(F.col("rows") < replicates).alias("under_replicated"), hit(F.col("rows") > replicates).alias("over_replicated"),
+        *[F.count_distinct(a).alias(f"levels_{j}") for j, a in enumerate(axes)],
+    ).first()
+    # the product of the levels is exact in Python, whatever its number of digits
+    counts = {s: one[s] or 0 for s in ("complete", "under_replicated", "over_replicated")}
+    counts["missing"] = exact_cell_total({a: one[f"levels_{j}"] for j, a in enumerate(axes)}) - one["cells"]
+    return panel.sparkSession.createDataFrame([(s, float(n), str(n)) for s, n in counts.items()], "status string, cell_count double, cell_count_exact string")
 
 
 def missing_cells(panel: DataFrame, axes: list[str], max_examples: int = 20) -> DataFrame:
-    """The first missing cells by level value. The grid is the product of the distinct levels, less the observed cells."""
-    grid = reduce(lambda a, b: a.crossJoin(b), [panel.select(a).distinct() for a in axes])
-    return grid.join(panel.select(*axes).distinct(), axes, "left_anti").orderBy(*axes).limit(max_examples)
+    """The first missing cells by level value.
+
+    The grid is walked axis by axis: of the prefixes found so far (at most
+    ``max_examples``) those that lack cells below them are extended by the next axis.
+    """
+    cells = panel.select(*axes).distinct()
+    sizes = cells.agg(*[F.count_distinct(a).alias(f"n{j}") for j, a in enumerate(axes)]).first()
+    prefix = None
+    for j, a in enumerate(axes):
+        below = prod(sizes[f"n{k}"] for k in range(j + 1, len(axes)))
+        by, levels = axes[: j + 1], panel.select(a).distinct()
+        near = cells if prefix is None else cells.join(F.broadcast(prefix), axes[:j])
+        have = near.groupBy(*by).agg(F.count("*").alias("rows_below"))
+        grid = levels if prefix is None else levels.crossJoin(F.broadcast(prefix))  # at most max_examples rows
+        prefix = grid.join(have, by, "left").where(F.coalesce("rows_below", F.lit(0)) < below).select(*by).orderBy(*by).limit(max_examples)
+    return prefix
 
 
 def replication_issues(panel: DataFrame, axes: list[str], replicates: int = 1, max_examples: int = 20) -> DataFrame:
@@ -80,16 +94,41 @@ def sources_table(panel: DataFrame, design: Design, outcomes: int = 1) -> DataFr
     return long.withColumns({"predictor_dimensions": F.lit(outcomes), "random_dimension": F.col("observed_groups") * outcomes, "covariance_parameters": F.lit(outcomes * (outcomes + 1) // 2)})
 
 
+def _in_sets(rows: DataFrame, sets: list[tuple[str, ...]], aggregates: list[Column]) -> DataFrame:
+    """One pass over rows for several groupings: the aggregates of each group, and ``gid``, the number of its set."""
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    number = {frozenset(s): k for k, s in enumerate(sets)}
+    bits = {}
+    for s, k in number.items():  # grouping_id sets the bit of a column that is aggregated out, the first column highest
+        bits[sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in s)] = k
+    at = F.create_map(*[F.lit(x) for kv in bits.items() for x in (int(kv[0]), int(kv[1]))])
+    return rows.groupingSets([list(s) for s in sets], *columns).agg(F.grouping_id().cast("int").alias("gid"), *aggregates).withColumn("gid", at[F.col("gid")])
+
+
 def kernel_gram(panel: DataFrame, design: Design) -> DataFrame:
     """source_a, source_b, gram: inner products of the source kernels, from joint group counts; no row-by-row matrix is formed."""
     names = list(design.terms)
-    parts = []
-    for i, a in enumerate(names):
-        for b in names[i:]:
-            members = list(dict.fromkeys(design.terms[a] + design.terms[b]))
-            n = panel.groupBy(*members).agg(F.count("*").alias("n"))
-            parts.append(n.agg(F.sum((F.col("n") * F.col("n")).cast("double")).alias("gram")).select(F.lit(a).alias("source_a"), F.lit(b).alias("source_b"), "gram"))
-    return reduce(lambda x, y: x.unionByName(y), parts)
+    pairs = [(a, b, tuple(m for m in design.variables if m in design.terms[a] + design.terms[b])) for i, a in enumerate(names) for b in names[i:]]
+    sets = list(dict.fromkeys(m for *_, m in pairs))
+    cells = panel.groupBy(*design.variables).agg(F.count("*").alias("cell_rows"))
+    n = _in_sets(cells, sets, [F.sum("cell_rows").alias("n")])
+    grams = n.groupBy("gid").agg(F.sum((F.col("n") * F.col("n")).cast("double")).alias("gram"))
+    side = panel.sparkSession.createDataFrame([(a, b, sets.index(m)) for a, b, m in pairs], "source_a string, source_b string, gid int")
+    return side.join(F.broadcast(grams), "gid").select("source_a", "source_b", "gram")  # one row for each pair of sources
+
+
+def kernel_rank(panel: DataFrame, design: Design, tolerance: float = 1e-9) -> tuple[int, int]:
+    """Rank of the kernels' Gram matrix and their number: sources can be told apart if both agree."""
+    import numpy as np
+
+    names = list(design.terms)
+    m = np.zeros((len(names), len(names)))
+    for r in kernel_gram(panel, design).collect():  # one row for each pair of sources
+        i, j = names.index(r["source_a"]), names.index(r["source_b"])
+        m[i, j] = m[j, i] = r["gram"]
+    scale = np.sqrt(np.diag(m))
+    values = np.linalg.eigvalsh(m / np.outer(scale, scale))
+    return int((values > tolerance * max(1.0, values[-1])).sum()), len(names)
 
 
 def numeric_profile(panel: DataFrame, outcome: str) -> DataFrame:
@@ -106,22 +145,25 @@ def category_profile(panel: DataFrame, outcome: str, levels: list) -> DataFrame:
 
 
 def category_coverage(panel: DataFrame, outcome: str, variables: list[list[str]]) -> DataFrame:
-    """variable, category, groups_with_category, groups, coverage. A nested facet is grouped with its ancestors."""
-    parts = []
-    for members in variables:
-        pairs = panel.select(*members, F.col(outcome).alias("category")).distinct()
-        groups = panel.select(*members).distinct().agg(F.count("*").alias("groups"))
-        parts.append(pairs.groupBy("category").agg(F.count("*").alias("groups_with_category")).crossJoin(F.broadcast(groups)).select(F.lit(":".join(members)).alias("variable"), "category", "groups_with_category", "groups", (F.col("groups_with_category") / F.col("groups")).alias("coverage")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """variable, category, groups_with_category, groups, coverage. A nested facet is grouped with its ancestors. One pass for all variables."""
+    sets = [tuple(v) for v in variables]
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    seen = panel.groupBy(*columns, F.col(outcome).alias("category")).agg(F.lit(1).alias("one"))
+    g = _in_sets(seen, sets, [F.collect_set("category").alias("categories")])  # a group's set holds distinct categories
+    names = F.array(*[F.lit(":".join(s)) for s in sets])
+    total = g.groupBy("gid").agg(F.count("*").alias("groups"))
+    per = g.select("gid", F.explode("categories").alias("category")).groupBy("gid", "category").agg(F.count("*").alias("groups_with_category"))
+    both = per.join(F.broadcast(total), "gid")  # one row for each variable
+    return both.select(names[F.col("gid")].alias("variable"), "category", "groups_with_category", "groups", (F.col("groups_with_category") / F.col("groups")).alias("coverage"))
 
 
 def no_variation_groups(panel: DataFrame, outcome: str, variables: list[list[str]]) -> DataFrame:
-    """variable, groups, no_variation, single_row."""
-    parts = []
-    for members in variables:
-        g = panel.groupBy(*members).agg(F.count("*").alias("n"), F.count_distinct(outcome).alias("d"))
-        parts.append(g.agg(F.count("*").alias("groups"), F.sum((F.col("d") <= 1).cast("long")).alias("no_variation"), F.sum((F.col("n") == 1).cast("long")).alias("single_row")).select(F.lit(":".join(members)).alias("variable"), "groups", "no_variation", "single_row"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """variable, groups, no_variation, single_row. One pass for all variables; groups are compared by their least and greatest value."""
+    sets = [tuple(v) for v in variables]
+    g = _in_sets(panel, sets, [F.count("*").alias("n"), F.min(outcome).alias("lo"), F.max(outcome).alias("hi")])
+    same = F.coalesce(F.col("lo") == F.col("hi"), F.lit(True))
+    names = F.array(*[F.lit(":".join(s)) for s in sets])
+    return g.groupBy("gid").agg(F.count("*").alias("groups"), F.sum(same.cast("long")).alias("no_variation"), F.sum((F.col("n") == 1).cast("long")).alias("single_row")).select(names[F.col("gid")].alias("variable"), "groups", "no_variation", "single_row")
 
 
 def preflight_gaussian(panel: DataFrame, design: Design, outcomes: list[str], max_axes: int = 12) -> DataFrame:

@@ -8,7 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..spec import Design, SpecError
+from ..spec import CALL, Design, SpecError
 
 EXACT = float(2**53)
 
@@ -30,11 +30,23 @@ def allocation_grid(spark: SparkSession, candidates: dict[str, list[int]], max_c
     return rows.drop("id")
 
 
+def check_fixed(grid: DataFrame, design: Design, fixed: tuple[str, ...], observed: dict[str, int] | None) -> None:
+    """A fixed facet is a facet, another one stays random, and every allocation has it at its observed count."""
+    if set(fixed) - set(design.facets) or len(set(fixed)) != len(fixed) or set(design.facets) <= set(fixed):
+        raise SpecError("fixed must name facets and leave at least one random")
+    if fixed:
+        if observed is None or set(fixed) - set(observed):
+            raise SpecError("a fixed facet needs its observed count")
+        changed = grid.where(reduce(lambda a, b: a | b, [F.col(f) != observed[f] for f in fixed])).limit(1).collect()
+        if changed:
+            raise SpecError(f"a fixed facet keeps its observed count: {[f for f in fixed if changed[0][f] != observed[f]]}")
+
+
 def source_weights(grid: DataFrame, design: Design, fixed: tuple[str, ...] = (), observed: dict[str, int] | None = None) -> DataFrame:
     """design_id, source, universe, relative, absolute, role: one row for each allocation and source."""
-    unknown = set(fixed) - set(design.facets)
-    if unknown or set(design.facets) <= set(fixed):
-        raise SpecError("fixed must name facets and leave at least one random")
+    if design.batch is not None and CALL in design.terms:
+        raise SpecError("ordinary coefficients are not defined when the call is a source; use the batch operators")
+    check_fixed(grid, design, fixed, observed)
     product = lambda names: reduce(lambda a, b: a * b, [F.col(n).cast("double") for n in names], F.lit(1.0))
     rows: list[Column] = []
 
@@ -71,8 +83,11 @@ def ratio(u: Column, e: Column) -> Column:
 
 
 def coefficients(weights: DataFrame, components: DataFrame, kind: str = "outcome") -> DataFrame:
-    """design_id, kind, outcome, universe_variance, relative_error, absolute_error, Erho2, Phi. Components are a small table, joined by source."""
-    diag = components.where("row = col").select("source", F.col("row").alias("outcome"), F.col("component").alias("v"))
+    """design_id, kind, outcome, universe_variance, relative_error, absolute_error, Erho2, Phi. Components are a small table, joined by source.
+
+    A negative (raw moment) component counts as zero, here and in the batch operators.
+    """
+    diag = components.where("row = col").select("source", F.col("row").alias("outcome"), F.greatest(F.lit(0.0), F.col("component")).alias("v"))
     keep = [c for c in weights.columns if c not in ("source", "universe", "relative", "absolute", "role")]
     part = lambda c: F.sum(F.col(c) * F.col("v"))
     s = weights.join(diag, "source").groupBy(*keep, "outcome").agg(part("universe").alias("universe_variance"), part("relative").alias("relative_error"), part("absolute").alias("absolute_error"))
@@ -90,6 +105,20 @@ def logit_interval(value: Column, se: Column, level: float = 0.95) -> tuple[Colu
     return F.when(ok, 1 / (1 + F.exp(-(eta - spread)))), F.when(ok, 1 / (1 + F.exp(-(eta + spread))))
 
 
+def select_results(table: DataFrame, outcome: str | None = None, kind: str | None = None, single: bool = False) -> DataFrame:
+    """The rows of one outcome or kind; an empty or (where one outcome is needed) ambiguous choice is refused."""
+    out = table
+    for column, value in (("outcome", outcome), ("kind", kind)):
+        if value is not None:
+            out = out.where(F.col(column) == value)
+    found = out.select(*[c for c in ("kind", "outcome") if c in out.columns]).distinct().limit(2).collect()
+    if not found:
+        raise SpecError(f"no result for outcome {outcome!r}, kind {kind!r}")
+    if single and len(found) > 1:
+        raise SpecError("several results remain: name the outcome and the kind")
+    return out
+
+
 def reporting(table: DataFrame, design: Design, observed: dict[str, int]) -> DataFrame:
     """allocation_*, measurements per object, exactness, extrapolation and batch status."""
     facets = [f for f in design.facets if f in table.columns]

@@ -34,25 +34,25 @@ def marginals(panel: DataFrame, outcomes: list[str], axes: list[str]) -> DataFra
     return per.select("mask", "groups", rows).select("mask", "r.row", "r.col", "groups", "r.q")
 
 
-def bit_count(col):
-    return F.bit_count(col)
+def _pick(ms, mask, row, col):
+    """The marginals of one subset and pair."""
+    return F.filter(ms, lambda x: (x["mask"] == mask) & (x["row"] == row) & (x["col"] == col))[0]
 
 
 def strata(panel: DataFrame, outcomes: list[str], axes: list[str]) -> DataFrame:
-    """mask, row, col, df, sscp of every stratum."""
-    m = marginals(panel, outcomes, axes)
-    levels = [m.where((F.col("mask") == 1 << j) & (F.col("row") == outcomes[0]) & (F.col("col") == outcomes[0])).select(F.col("groups").alias(f"n{j}")) for j in range(len(axes))]
-    sizes = levels[0]
-    for x in levels[1:]:
-        sizes = sizes.crossJoin(F.broadcast(x))  # one row each
-    sub = m.select(F.col("mask").alias("t"), F.col("row").alias("tr"), F.col("col").alias("tc"), F.col("q").alias("tq"))
-    inside = (F.col("t").bitwiseAND(F.col("mask")) == F.col("t")) & (F.col("tr") == F.col("row")) & (F.col("tc") == F.col("col"))
-    sign = F.when((F.bit_count("mask") - F.bit_count("t")) % 2 == 0, 1.0).otherwise(-1.0)
-    ss = m.join(sub, inside).groupBy("mask", "row", "col").agg(F.sum(sign * F.col("tq")).alias("sscp"))
+    """mask, row, col, df, sscp of every stratum.
+
+    The marginals (2^k subsets for each pair of outcomes) travel as one array in one row, so the panel is read once and nothing is joined.
+    """
+    one = marginals(panel, outcomes, axes).agg(F.collect_list(F.struct("mask", "row", "col", "groups", "q")).alias("ms"))
+    sizes = {f"n{j}": _pick("ms", 1 << j, outcomes[0], outcomes[0])["groups"] for j in range(len(axes))}
+    rows = one.withColumns(sizes).select("ms", *sizes, F.inline("ms"))
+    inside = F.filter("ms", lambda x: (x["mask"].bitwiseAND(F.col("mask")) == x["mask"]) & (x["row"] == F.col("row")) & (x["col"] == F.col("col")))
+    sign = lambda x: F.when((F.bit_count("mask") - F.bit_count(x["mask"])) % 2 == 0, 1.0).otherwise(-1.0)
     df = F.lit(1)
     for j in range(len(axes)):
         df = df * F.when(F.col("mask").bitwiseAND(1 << j) != 0, F.col(f"n{j}") - 1).otherwise(1)
-    return ss.crossJoin(F.broadcast(sizes)).select("mask", "row", "col", df.cast("long").alias("df"), "sscp", *[f"n{j}" for j in range(len(axes))])
+    return rows.select("mask", "row", "col", df.cast("long").alias("df"), F.aggregate(inside, F.lit(0.0), lambda a, x: a + sign(x) * x["q"]).alias("sscp"), *sizes)
 
 
 def moment_components(panel: DataFrame, outcomes: list[str], axes: list[str]) -> DataFrame:
@@ -63,18 +63,20 @@ def moment_components(panel: DataFrame, outcomes: list[str], axes: list[str]) ->
     component S = 1 / prod(levels outside S) * sum over g containing S of (-1)^|g - S| * mean product g.
     The full-cell source is the residual.
     """
-    s = strata(panel, outcomes, axes).where("mask <> 0")
     k = len(axes)
-    up = s.select(F.col("mask").alias("g"), F.col("row").alias("gr"), F.col("col").alias("gc"), (F.col("sscp") / F.col("df")).alias("ms"))
-    above = (F.col("g").bitwiseAND(F.col("mask")) == F.col("mask")) & (F.col("gr") == F.col("row")) & (F.col("gc") == F.col("col"))
-    sign = F.when((F.bit_count("g") - F.bit_count("mask")) % 2 == 0, 1.0).otherwise(-1.0)
-    total = s.join(up, above).groupBy("mask", "row", "col", *[f"n{j}" for j in range(k)]).agg(F.sum(sign * F.col("ms")).alias("v"))
+    s = strata(panel, outcomes, axes).where("mask <> 0")
+    sizes = [f"n{j}" for j in range(k)]
+    one = s.agg(F.collect_list(F.struct("mask", "row", "col", (F.col("sscp") / F.col("df")).alias("ms"))).alias("all"), *[F.max(n).alias(n) for n in sizes])
+    rows = one.select("all", *sizes, F.inline("all"))
+    above = F.filter("all", lambda x: (x["mask"].bitwiseAND(F.col("mask")) == F.col("mask")) & (x["row"] == F.col("row")) & (x["col"] == F.col("col")))
+    sign = lambda x: F.when((F.bit_count(x["mask"]) - F.bit_count("mask")) % 2 == 0, 1.0).otherwise(-1.0)
+    total = F.aggregate(above, F.lit(0.0), lambda a, x: a + sign(x) * x["ms"])
     outside = F.lit(1.0)
     for j in range(k):
         outside = outside * F.when(F.col("mask").bitwiseAND(1 << j) == 0, F.col(f"n{j}")).otherwise(1)
     label = F.concat_ws(":", *[F.when(F.col("mask").bitwiseAND(1 << j) != 0, F.lit(a)) for j, a in enumerate(axes)])
     source = F.when(F.col("mask") == (1 << k) - 1, F.lit("Residual")).otherwise(label)
-    return total.select("mask", source.alias("source"), "row", "col", (F.col("v") / outside).alias("component"))
+    return rows.select("mask", source.alias("source"), "row", "col", (total / outside).alias("component"))
 
 
 def deviance(strata_table: DataFrame, components: dict[str, float], axes: list[str], reml: bool = True) -> DataFrame:

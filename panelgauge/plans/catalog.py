@@ -16,9 +16,8 @@ from . import sql, sql_more
 AXES = ["p_brand", "l_returnflag", "l_linestatus"]
 FLAGSHIP = S.design("p_brand", ["l_returnflag", "l_linestatus"]).resolve("gaussian")
 HOURS = ["event_type", "hour", "dow"]
-#: Known components of planning examples (fixed values).
-GOLDEN = {"item": 2.0, "rater": 0.4, "occasion": 0.2, "item:rater": 1.2, "item:occasion": 0.1, "rater:occasion": 0.3, "Residual": 0.6}
-GOLDEN_DESIGN = S.design("item", ["rater", "occasion"]).resolve("gaussian")
+#: Design of the planning queries.
+STUDY_DESIGN = S.design("item", ["rater", "occasion"]).resolve("gaussian")
 
 
 def r(c: Column | str, k: int = 6) -> Column:
@@ -129,7 +128,7 @@ def encode_binary(spark, d):
 
 
 def encode_nominal(spark, d):
-    return P.table(spark, d, "events").select("event_id", P.encode_nominal(F.col("event_type"), ["click", "view", "purchase"]).alias("label"))
+    return P.table(spark, d, "events").select("event_id", P.encode_nominal(F.col("event_type"), ["click", "error", "purchase", "signup", "view"]).alias("label"))
 
 
 def working_score_map(spark, d):
@@ -196,7 +195,7 @@ def reliability_g_phi(spark, d):
 
 
 def reliability_fixed_facet(spark, d):
-    c = reliability.coefficients(reliability.source_weights(_flag_grid(spark), FLAGSHIP, ("l_linestatus",)), flagship_components(spark, d))
+    c = reliability.coefficients(reliability.source_weights(_flag_grid(spark), FLAGSHIP, ("l_linestatus",), {"l_returnflag": 3, "l_linestatus": 2}), flagship_components(spark, d))
     return rounded(c.select("outcome", "Erho2", "Phi"), "Erho2", "Phi", k=5)
 
 
@@ -208,17 +207,20 @@ def reliability_composite(spark, d):
 
 def source_weights(spark, d):
     grid = reliability.allocation_grid(spark, {"rater": [2, 4], "occasion": [1, 2]})
-    return rounded(reliability.source_weights(grid, GOLDEN_DESIGN).select("design_id", "source", "universe", "relative", "absolute", "role"), "universe", "relative", "absolute")
+    return rounded(reliability.source_weights(grid, STUDY_DESIGN).select("design_id", "source", "universe", "relative", "absolute", "role"), "universe", "relative", "absolute")
 
 
-def _golden(spark, fixed=()):
+def _study(spark, d):
+    """Allocations of the price panel, brands as items, flags as raters, status as occasions."""
+    panel = P.price_panel(spark, d).withColumnsRenamed({"p_brand": "item", "l_returnflag": "rater", "l_linestatus": "occasion", "price": "y"})
     grid = reliability.allocation_grid(spark, {"rater": [1, 2, 3, 4], "occasion": [1, 2, 3]})
-    return reliability.source_weights(grid, GOLDEN_DESIGN, fixed), components(spark, GOLDEN)
+    c = strata.moment_components(panel, ["y"], ["item", "rater", "occasion"]).select("source", "row", "col", F.greatest(F.lit(0.0), F.col("component")).alias("component"))
+    return reliability.source_weights(grid, STUDY_DESIGN), c
 
 
 def dstudy_grid(spark, d):
-    w, c = _golden(spark)
-    return rounded(longs(reliability.reporting(reliability.coefficients(w, c), GOLDEN_DESIGN, {"rater": 2, "occasion": 2}).select("design_id", "allocation_rater", "allocation_occasion", "Erho2", "Phi", "measurements_per_object", "extrapolated"), "allocation_rater", "allocation_occasion"), "Erho2", "Phi", "measurements_per_object")
+    w, c = _study(spark, d)
+    return rounded(longs(reliability.reporting(reliability.coefficients(w, c), STUDY_DESIGN, {"rater": 2, "occasion": 2}).select("design_id", "allocation_rater", "allocation_occasion", "Erho2", "Phi", "measurements_per_object", "extrapolated"), "allocation_rater", "allocation_occasion"), "Erho2", "Phi", "measurements_per_object")
 
 
 def dstudy_flagship(spark, d):
@@ -228,9 +230,9 @@ def dstudy_flagship(spark, d):
 
 
 def dstudy_target(spark, d):
-    w, c = _golden(spark)
-    t = reliability.reporting(reliability.coefficients(w, c), GOLDEN_DESIGN, {"rater": 2, "occasion": 2})
-    return rounded(reliability.dstudy_target(t, 0.7).select("design_id", "estimate", "meets_target", "fewest_measurements"), "estimate")
+    w, c = _study(spark, d)
+    t = reliability.reporting(reliability.coefficients(w, c), STUDY_DESIGN, {"rater": 2, "occasion": 2})
+    return rounded(reliability.dstudy_target(t, 0.95).select("design_id", "estimate", "meets_target", "fewest_measurements"), "estimate")
 
 
 NESTED = S.design("person", ["item", "question"], crossed=["question"], nested={"item": "question"}, item_nested=["item"]).resolve("gaussian")
@@ -244,7 +246,7 @@ def dstudy_nested(spark, d):
 
 
 def coefficient_interval_logit(spark, d):
-    w, c = _golden(spark)
+    w, c = _study(spark, d)
     t = reliability.coefficients(w, c).withColumn("se", F.lit(0.05) / F.col("rater"))
     lo, hi = reliability.logit_interval(F.col("Erho2"), F.col("se"), 0.95)
     return rounded(t.select("design_id", lo.alias("lower"), hi.alias("upper")), "lower", "upper")
@@ -253,44 +255,44 @@ def coefficient_interval_logit(spark, d):
 # ------------------------------------------------- planning
 
 
-def _plan(spark):
-    w, c = _golden(spark)
-    t = reliability.reporting(reliability.coefficients(w, c), GOLDEN_DESIGN, {"rater": 2, "occasion": 2})
+def _plan(spark, d):
+    w, c = _study(spark, d)
+    t = reliability.reporting(reliability.coefficients(w, c), STUDY_DESIGN, {"rater": 2, "occasion": 2})
     t = t.withColumns({"annotations_per_item": F.col("measurements_per_object"), "study_items": F.lit(20), "total_annotations": F.col("measurements_per_object") * 20})
     return planning.add_costs(t, {"annotation": 0.05 * F.col("total_annotations"), "raters": 2.0 * F.col("allocation_rater"), "setup": F.lit(3.0)}, "USD", "2026-01-31")
 
 
 def plan_costs(spark, d):
-    t = _plan(spark)
+    t = _plan(spark, d)
     return rounded(t.select("design_id", "total_annotations", "cost_component_annotation", "cost_component_raters", "cost_component_setup", "total_cost", "currency"), "total_annotations", "cost_component_annotation", "cost_component_raters", "cost_component_setup", "total_cost")
 
 
-def _checked(spark):
+def _checked(spark, d):
     unknown = F.when(F.col("allocation_occasion") == 3, F.lit(None).cast("boolean")).otherwise(F.lit(True))
-    return planning.constraints(_plan(spark), {"within_budget": F.col("total_cost") <= 20, "staffed": unknown})
+    return planning.constraints(_plan(spark, d), {"within_budget": F.col("total_cost") <= 20, "staffed": unknown})
 
 
 def plan_constraints(spark, d):
-    return _checked(spark).select("design_id", "feasible", "constraint_reason")
+    return _checked(spark, d).select("design_id", "feasible", "constraint_reason")
 
 
 def plan_minimum_cost(spark, d):
-    t = planning.screen(_checked(spark), 0.6, F.col("Erho2"))
+    t = planning.screen(_checked(spark, d), 0.95, F.col("Erho2"))
     return longs(t.select("design_id", "meets_target", "eligible", "minimum_cost", F.coalesce("cost_rank", F.lit(0)).alias("cost_rank")), "cost_rank")
 
 
 def plan_pareto(spark, d):
-    return planning.pareto(planning.screen(_checked(spark), 0.6, F.col("Erho2"))).select("design_id", "feasible", "pareto")
+    return planning.pareto(planning.screen(_checked(spark, d), 0.95, F.col("Erho2"))).select("design_id", "feasible", "pareto")
 
 
 def plan_baseline(spark, d):
-    t = planning.against_baseline(_plan(spark), 1)
+    t = planning.against_baseline(_plan(spark, d), 1)
     names = ["extra_cost", "relative_error_reduction", "absolute_error_reduction", "Erho2_gain", "Phi_gain"]
     return rounded(t.select("design_id", *names), *names)
 
 
 def plan_source_contributions(spark, d):
-    w, c = _golden(spark)
+    w, c = _study(spark, d)
     t = planning.source_contributions(w, c, 1, "y")
     return rounded(t, "universe", "relative_error", "absolute_error", "relative_error_reduction", "absolute_error_reduction")
 

@@ -53,7 +53,7 @@ def moments_cte(outcomes: list[str], axes: list[str], panel: str = "p") -> str:
 
 
 def flagship(universe: list[str], relative: dict[str, str], absolute: dict[str, str], outcome: str = "component") -> str:
-    pick = lambda s: f"(SELECT {outcome} FROM m WHERE source = '{s}' AND row = 'price' AND col = 'price')"
+    pick = lambda s: f"(SELECT greatest({outcome}, 0) FROM m WHERE source = '{s}' AND row = 'price' AND col = 'price')"
     part = lambda w: " + ".join(f"{pick(s)} / ({x})" for s, x in w.items())
     u = " + ".join(pick(s) if ":" not in s else f"{pick(s)} / 2" for s in universe)
     return f"SELECT {u} AS u, {part(relative)} AS e, {part(absolute)} AS a"
@@ -67,7 +67,9 @@ COEF = "round(u / (u + e), {k}) + 0.0 AS \"Erho2\", round(u / (u + a), {k}) + 0.
 
 GOLD = "(VALUES ('item',2.0,0,0,'universe'),('rater',0.4,1,0,'abs'),('occasion',0.2,0,1,'abs'),('item:rater',1.2,1,0,'rel'),('item:occasion',0.1,0,1,'rel'),('rater:occasion',0.3,1,1,'abs'),('Residual',0.6,1,1,'rel')) g(source, v, hr, ho, kind)"
 ALLOC = "(SELECT row_number() OVER (ORDER BY o, r) AS design_id, r, o FROM (SELECT unnest([1,2,3,4]) AS r), (SELECT unnest([1,2,3]) AS o))"
-GOLDEN = f"""x AS (SELECT design_id, r, o, source, v, kind, 1.0 / ((CASE WHEN hr = 1 THEN r ELSE 1 END) * (CASE WHEN ho = 1 THEN o ELSE 1 END)) AS w FROM {ALLOC} a, {GOLD}),
+ROLES = "(VALUES (1,'item',0,0,'universe'),(2,'rater',1,0,'abs'),(4,'occasion',0,1,'abs'),(3,'item:rater',1,0,'rel'),(5,'item:occasion',0,1,'rel'),(6,'rater:occasion',1,1,'abs'),(7,'Residual',1,1,'rel')) v(mask_bits, source, hr, ho, kind)"
+STUDY = f"""{PRICE}, {moments_cte(['price'], AXES)}, gold AS (SELECT v.source, greatest(component, 0) AS v, hr, ho, kind FROM m JOIN {ROLES} ON m.mask = v.mask_bits),
+x AS (SELECT design_id, r, o, source, v, kind, 1.0 / ((CASE WHEN hr = 1 THEN r ELSE 1 END) * (CASE WHEN ho = 1 THEN o ELSE 1 END)) AS w FROM {ALLOC} a, gold),
 t AS (SELECT design_id, any_value(r) AS r, any_value(o) AS o, sum(CASE WHEN kind = 'universe' THEN v ELSE 0 END) AS u,
   sum(CASE WHEN kind = 'rel' THEN v * w ELSE 0 END) AS e, sum(CASE WHEN kind IN ('rel', 'abs') THEN v * w ELSE 0 END) AS a FROM x GROUP BY design_id)"""
 
@@ -119,7 +121,7 @@ def statements() -> dict[str, str]:
         "null_counts": "SELECT count(*) - count(user_id) AS user_id, count(*) - count(event_type) AS event_type, count(*) FILTER (value IS NULL OR isnan(value)) AS value FROM events",
         "encode_ordinal": "SELECT o_orderkey, CAST(list_position(['5-LOW','4-NOT SPECIFIED','3-MEDIUM','2-HIGH','1-URGENT'], upper(trim(o_orderpriority))) AS INTEGER) AS code FROM orders",
         "encode_binary": "SELECT event_id, CAST(CASE WHEN event_type = 'purchase' THEN 1 WHEN event_type IS NOT NULL THEN 0 END AS INTEGER) AS code FROM events",
-        "encode_nominal": "SELECT event_id, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN event_type END AS label FROM events",
+        "encode_nominal": "SELECT event_id, event_type AS label FROM events",
         "working_score_map": "SELECT o_orderkey, CAST(CASE o_orderpriority WHEN '5-LOW' THEN 0 WHEN '4-NOT SPECIFIED' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '2-HIGH' THEN 3 WHEN '1-URGENT' THEN 4 END AS INTEGER) AS score FROM orders",
         "flag_groups": "SELECT o_orderkey, CAST(o_orderpriority IN ('1-URGENT', '2-HIGH') AS INTEGER) AS pressing, CAST(o_orderstatus = 'O' OR o_totalprice > 100000 AS INTEGER) AS open_or_large FROM orders",
         "strata_ss": f"WITH {PRICE}, {strata_cte(['price'], AXES)} SELECT CAST(mask AS INTEGER) AS mask, CAST(df AS BIGINT) AS df, round(sscp, 4) + 0.0 AS sscp FROM s",
@@ -133,13 +135,13 @@ def statements() -> dict[str, str]:
         "reliability_fixed_facet": f"{ONE}, f AS ({fixed}) SELECT 'price' AS outcome, {COEF.format(k=5)} FROM f",
         "reliability_composite": f"{JOINT}, {comp}, f AS ({flagship(u, rel, ab).replace('FROM m', 'FROM c')}) SELECT 'composite' AS kind, 'composite' AS outcome, {COEF.format(k=5)} FROM f",
         "source_weights": f"WITH a AS (SELECT row_number() OVER (ORDER BY o, r) AS design_id, r, o FROM (SELECT unnest([2,4]) AS r), (SELECT unnest([1,2]) AS o)), x AS (SELECT design_id, source, kind, 1.0 / ((CASE WHEN hr = 1 THEN r ELSE 1 END) * (CASE WHEN ho = 1 THEN o ELSE 1 END)) AS w FROM a, {GOLD}) SELECT design_id, source, CASE WHEN kind = 'universe' THEN 1.0 ELSE 0.0 END::DOUBLE AS universe, round(CASE WHEN kind = 'rel' THEN w ELSE 0 END, 6)::DOUBLE AS relative, round(CASE WHEN kind IN ('rel', 'abs') THEN w ELSE 0 END, 6)::DOUBLE AS absolute, CASE kind WHEN 'universe' THEN 'universe' WHEN 'rel' THEN 'relative_and_absolute_error' ELSE 'absolute_error' END AS role FROM x",
-        "dstudy_grid": f"WITH {GOLDEN} SELECT design_id, CAST(r AS BIGINT) AS allocation_rater, CAST(o AS BIGINT) AS allocation_occasion, round(u / (u + e), 6)::DOUBLE AS \"Erho2\", round(u / (u + a), 6)::DOUBLE AS \"Phi\", CAST(r * o AS DOUBLE) AS measurements_per_object, r > 2 OR o > 2 AS extrapolated FROM t",
+        "dstudy_grid": f"WITH {STUDY} SELECT design_id, CAST(r AS BIGINT) AS allocation_rater, CAST(o AS BIGINT) AS allocation_occasion, round(u / (u + e), 6)::DOUBLE AS \"Erho2\", round(u / (u + a), 6)::DOUBLE AS \"Phi\", CAST(r * o AS DOUBLE) AS measurements_per_object, r > 2 OR o > 2 AS extrapolated FROM t",
         "dstudy_flagship": f"""{ONE}, g AS (SELECT row_number() OVER (ORDER BY l_linestatus, l_returnflag) AS design_id, l_returnflag, l_linestatus FROM (SELECT unnest([1,2,3,6]) AS l_returnflag), (SELECT unnest([1,2,4]) AS l_linestatus)),
-w AS (SELECT design_id, l_returnflag AS f, l_linestatus AS s, source, component AS v, CASE source WHEN 'p_brand' THEN 1 WHEN 'l_returnflag' THEN 1.0 / l_returnflag WHEN 'p_brand:l_returnflag' THEN 1.0 / l_returnflag WHEN 'l_linestatus' THEN 1.0 / l_linestatus WHEN 'p_brand:l_linestatus' THEN 1.0 / l_linestatus ELSE 1.0 / (l_returnflag * l_linestatus) END AS w FROM g, m),
+w AS (SELECT design_id, l_returnflag AS f, l_linestatus AS s, source, greatest(component, 0) AS v, CASE source WHEN 'p_brand' THEN 1 WHEN 'l_returnflag' THEN 1.0 / l_returnflag WHEN 'p_brand:l_returnflag' THEN 1.0 / l_returnflag WHEN 'l_linestatus' THEN 1.0 / l_linestatus WHEN 'p_brand:l_linestatus' THEN 1.0 / l_linestatus ELSE 1.0 / (l_returnflag * l_linestatus) END AS w FROM g, m),
 t AS (SELECT design_id, any_value(f) AS f, any_value(s) AS s, sum(v * w) FILTER (source = 'p_brand') AS u, sum(v * w) FILTER (source IN ('p_brand:l_returnflag', 'p_brand:l_linestatus', 'Residual')) AS e, sum(v * w) FILTER (source <> 'p_brand') AS a FROM w GROUP BY design_id)
 SELECT design_id, CAST(f AS BIGINT) AS l_returnflag, CAST(s AS BIGINT) AS l_linestatus, {COEF.format(k=5)} FROM t""",
-        "dstudy_target": f"WITH {GOLDEN}, q AS (SELECT design_id, u / (u + e) AS c, r * o AS n FROM t) SELECT design_id, round(c, 6)::DOUBLE AS estimate, c >= 0.7 AS meets_target, c >= 0.7 AND n = (SELECT min(n) FROM q WHERE c >= 0.7) AS fewest_measurements FROM q",
+        "dstudy_target": f"WITH {STUDY}, q AS (SELECT design_id, u / (u + e) AS c, r * o AS n FROM t) SELECT design_id, round(c, 6)::DOUBLE AS estimate, c >= 0.95 AS meets_target, c >= 0.95 AND n = (SELECT min(n) FROM q WHERE c >= 0.95) AS fewest_measurements FROM q",
         "dstudy_nested": f"WITH a AS (SELECT row_number() OVER (ORDER BY q, i) AS design_id, i, q FROM (SELECT unnest([3,6]) AS i), (SELECT unnest([2,4]) AS q)), x AS (SELECT design_id, i, q, kind, v / ((CASE WHEN hi = 1 THEN i ELSE 1 END) * (CASE WHEN hq = 1 THEN q ELSE 1 END)) AS p FROM a, {nested}), t AS (SELECT design_id, any_value(i) AS i, any_value(q) AS q, sum(p) FILTER (kind = 'u') AS u, sum(p) FILTER (kind = 'r') AS e, sum(p) FILTER (kind IN ('r', 'a')) AS a FROM x GROUP BY design_id) SELECT design_id, CAST(i AS BIGINT) AS item, CAST(q AS BIGINT) AS question, round(u / (u + e), 6)::DOUBLE AS \"Erho2\", round(u / (u + a), 6)::DOUBLE AS \"Phi\" FROM t",
-        "coefficient_interval_logit": f"WITH {GOLDEN}, q AS (SELECT design_id, CAST(u / (u + e) AS DOUBLE) AS c, 0.05 / r AS se FROM t), i AS (SELECT design_id, ln(c / (1 - c)) AS eta, 1.959963984540054 * se / (c * (1 - c)) AS h FROM q) SELECT design_id, round(1 / (1 + exp(-(eta - h))), 6) AS lower, round(1 / (1 + exp(-(eta + h))), 6) AS upper FROM i",
+        "coefficient_interval_logit": f"WITH {STUDY}, q AS (SELECT design_id, CAST(u / (u + e) AS DOUBLE) AS c, 0.05 / r AS se FROM t), i AS (SELECT design_id, ln(c / (1 - c)) AS eta, 1.959963984540054 * se / (c * (1 - c)) AS h FROM q) SELECT design_id, round(1 / (1 + exp(-(eta - h))), 6) AS lower, round(1 / (1 + exp(-(eta + h))), 6) AS upper FROM i",
     }
     return out

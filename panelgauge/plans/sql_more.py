@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .sql import GOLDEN
+from .sql import HOURS, STUDY
 
-PLAN = f"WITH {GOLDEN}, q AS (SELECT design_id, r, o, CAST(u AS DOUBLE) AS u, CAST(e AS DOUBLE) AS e, CAST(a AS DOUBLE) AS a, CAST(u / (u + e) AS DOUBLE) AS g, CAST(u / (u + a) AS DOUBLE) AS phi, CAST(r * o * 20 AS DOUBLE) AS n, 0.05 * (r * o * 20) + 2.0 * r + 3 AS cost FROM t), c AS (SELECT *, cost <= 20 AS budget, CASE WHEN o = 3 THEN NULL ELSE true END AS staffed FROM q), f AS (SELECT *, budget AND staffed AS feasible, g >= 0.6 AS meets FROM c)"
+PLAN = f"WITH {STUDY}, q AS (SELECT design_id, r, o, CAST(u AS DOUBLE) AS u, CAST(e AS DOUBLE) AS e, CAST(a AS DOUBLE) AS a, CAST(u / (u + e) AS DOUBLE) AS g, CAST(u / (u + a) AS DOUBLE) AS phi, CAST(r * o * 20 AS DOUBLE) AS n, 0.05 * (r * o * 20) + 2.0 * r + 3 AS cost FROM t), c AS (SELECT *, cost <= 20 AS budget, CASE WHEN o = 3 THEN NULL ELSE true END AS staffed FROM q), f AS (SELECT *, budget AND staffed AS feasible, g >= 0.95 AS meets FROM c)"
 SUPPLY = "y AS (SELECT l_suppkey, l_returnflag, avg(l_quantity) AS y FROM lineitem GROUP BY ALL), z AS (SELECT *, (l_suppkey // 5) || '/' || l_returnflag AS call FROM y)"
 LAYOUT = "l AS (SELECT s_suppkey AS item, s_suppkey // 5 + 1 AS batch FROM supplier)"
 KERNEL = "(VALUES ('item','same_item',1.0,'universe',1.5),('rater','all_items',{n},'error',0.3),('Call','same_batch',{n},'error',0.4),('Residual','same_item',{n},'error',0.6)) s(source, kernel, divisor, role, v)"
@@ -43,13 +43,19 @@ def statements() -> dict[str, str]:
     q6 = lambda p: f"v[CAST(floor((n + 1) * {p}) AS BIGINT)] + ((n + 1) * {p} - floor((n + 1) * {p})) * (v[least(CAST(floor((n + 1) * {p}) AS BIGINT) + 1, n)] - v[CAST(floor((n + 1) * {p}) AS BIGINT)])"
     kinds = "CASE WHEN k < 6 THEN 'accepted' WHEN k = 6 THEN 'fit_error' WHEN k = 7 THEN 'simulation_error' WHEN k = 8 THEN 'numerically_refused' WHEN k = 9 THEN 'interval_unavailable' ELSE 'reliability_error' END"
     rate = lambda n, top: f"round({top} / attempted, 6) AS {n}_rate, round(sqrt(({top} / attempted) * (1 - {top} / attempted) / attempted), 6) AS {n}_mcse"
+    sets = {"event_type": ["event_type"], "dow": ["dow"], "hour": ["hour"], "event_type:dow": ["event_type", "dow"], "event_type:hour": ["event_type", "hour"], "hour:dow": ["hour", "dow"]}
+    pairs = sorted(sets, key=lambda s: (len(sets[s]), s))
+    pair = lambda a, b: f"SELECT '{a}' AS source_a, '{b}' AS source_b, count(DISTINCT ({', '.join(k for k in ('event_type', 'hour', 'dow') if k in sets[a] + sets[b])})) AS pairs FROM h"
+    catalog = [("hate_speech", "ordinal", 1), ("drug_review", "ordinal", 1), ("drug_review_4aspect", "ordinal", 4), ("mental_health_6flag", "binary", 6), ("mental_health_3group", "binary", 3), ("mental_health_nominal", "categorical", 1), ("mental_health_7L", "gaussian", 1), ("mental_health_3L", "gaussian", 1)]
     return {
+        "source_pairs": f"WITH {HOURS} " + " UNION ALL ".join(pair(a, b) for i, a in enumerate(pairs) for b in pairs[i:]),
+        "example_catalog": f"SELECT name, native_family, CAST(outcomes AS INTEGER) AS outcomes FROM (VALUES {', '.join(map(str, catalog))}) v(name, native_family, outcomes)",
         "plan_costs": f"{PLAN} SELECT design_id, n AS total_annotations, round(0.05 * n, 6)::DOUBLE AS cost_component_annotation, CAST(2 * r AS DOUBLE) AS cost_component_raters, CAST(3 AS DOUBLE) AS cost_component_setup, round(cost, 6)::DOUBLE AS total_cost, 'USD' AS currency FROM f",
         "plan_constraints": f"{PLAN} SELECT design_id, feasible, nullif(concat_ws('; ', CASE WHEN NOT budget THEN 'Failed: within_budget' END, CASE WHEN staffed IS NULL THEN 'Unknown: staffed' END), '') AS constraint_reason FROM f",
         "plan_minimum_cost": f"{PLAN} SELECT design_id, meets AS meets_target, feasible AND meets AS eligible, CASE WHEN (feasible AND meets) IS NOT NULL THEN (feasible AND meets) AND cost = (SELECT min(cost) FROM f WHERE feasible AND meets) END AS minimum_cost, CASE WHEN feasible THEN (SELECT count(*) + 1 FROM f b WHERE b.feasible AND b.cost < f.cost) ELSE 0 END AS cost_rank FROM f",
         "plan_pareto": f"{PLAN} SELECT design_id, feasible, CASE WHEN NOT feasible THEN false WHEN feasible THEN NOT EXISTS (SELECT 1 FROM f b WHERE b.feasible AND b.cost <= f.cost AND b.g >= f.g AND (b.cost < f.cost OR b.g > f.g)) END AS pareto FROM f",
-        "plan_baseline": f"{PLAN}, z AS (SELECT * FROM f WHERE design_id = 1) SELECT f.design_id, round(f.cost - z.cost, 6)::DOUBLE + 0.0 AS extra_cost, round(z.e - f.e, 6) + 0.0 AS relative_error_reduction, round(z.a - f.a, 6) + 0.0 AS absolute_error_reduction, round(f.g - z.g, 6) + 0.0 AS \"Erho2_gain\", round(f.phi - z.phi, 6) + 0.0 AS \"Phi_gain\" FROM f, z",
-        "plan_source_contributions": f"WITH {GOLDEN}, y AS (SELECT design_id, source, kind, CASE WHEN kind = 'universe' THEN v ELSE 0 END AS u, CASE WHEN kind = 'rel' THEN v * w ELSE 0 END AS e, CASE WHEN kind IN ('rel', 'abs') THEN v * w ELSE 0 END AS a FROM x) SELECT y.design_id, y.source, CASE y.kind WHEN 'universe' THEN 'universe' WHEN 'rel' THEN 'relative_and_absolute_error' ELSE 'absolute_error' END AS role, CAST(y.u AS DOUBLE) AS universe, round(y.e, 6)::DOUBLE AS relative_error, round(y.a, 6)::DOUBLE AS absolute_error, round(b.e - y.e, 6)::DOUBLE + 0.0 AS relative_error_reduction, round(b.a - y.a, 6)::DOUBLE + 0.0 AS absolute_error_reduction FROM y JOIN y b ON b.design_id = 1 AND b.source = y.source",
+        "plan_baseline": f"{PLAN}, b AS (SELECT * FROM f WHERE design_id = 1) SELECT f.design_id, round(f.cost - b.cost, 6)::DOUBLE + 0.0 AS extra_cost, round(b.e - f.e, 6) + 0.0 AS relative_error_reduction, round(b.a - f.a, 6) + 0.0 AS absolute_error_reduction, round(f.g - b.g, 6) + 0.0 AS \"Erho2_gain\", round(f.phi - b.phi, 6) + 0.0 AS \"Phi_gain\" FROM f, b",
+        "plan_source_contributions": f"WITH {STUDY}, y AS (SELECT design_id, source, kind, CASE WHEN kind = 'universe' THEN v ELSE 0 END AS u, CASE WHEN kind = 'rel' THEN v * w ELSE 0 END AS e, CASE WHEN kind IN ('rel', 'abs') THEN v * w ELSE 0 END AS a FROM x) SELECT y.design_id, y.source, CASE y.kind WHEN 'universe' THEN 'universe' WHEN 'rel' THEN 'relative_and_absolute_error' ELSE 'absolute_error' END AS role, round(y.u, 6)::DOUBLE + 0.0 AS universe, round(y.e, 6)::DOUBLE AS relative_error, round(y.a, 6)::DOUBLE AS absolute_error, round(b.e - y.e, 6)::DOUBLE + 0.0 AS relative_error_reduction, round(b.a - y.a, 6)::DOUBLE + 0.0 AS absolute_error_reduction FROM y JOIN y b ON b.design_id = 1 AND b.source = y.source",
         "batch_inferred": "SELECT s_suppkey, (rn - 1) // 5 + 1 AS batch, (rn - 1) % 5 + 1 AS position FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS rn FROM supplier)",
         "batch_problems": "WITH i AS (SELECT l_suppkey, min(l_linenumber) AS lo, max(l_linenumber) AS hi FROM lineitem GROUP BY 1) SELECT CAST((SELECT count(*) FROM i WHERE lo <> hi) AS BIGINT) AS varying_items, CAST(coalesce((SELECT sum(n) FROM (SELECT count(*) AS n FROM i GROUP BY lo) WHERE n > 1), 0) AS BIGINT) AS tied_items",
         "batch_recorded": f"WITH {SUPPLY} SELECT call, l_suppkey, row_number() OVER (PARTITION BY call ORDER BY l_suppkey) AS position FROM z",

@@ -65,22 +65,31 @@ def checked(c: Column, levels: list, what: str) -> Column:
 
 
 def encode_ordinal(c: Column, levels: list[str]) -> Column:
-    """1-based code of a declared level, after trimming and upper-casing."""
-    text = F.upper(F.trim(c))
-    return F.array_position(F.array(*[F.lit(x.strip().upper()) for x in levels]), text).cast("int")
+    """1-based code of a declared level, after trimming and upper-casing. An unknown or null label stops the job."""
+    names = [x.strip().upper() for x in levels]
+    text = checked(F.upper(F.trim(c)), names, "ordinal label")
+    return F.array_position(F.array(*map(F.lit, names)), text).cast("int")
+
+
+def encode_severity(c: Column, top: int) -> Column:
+    """A whole number from 1 to ``top``."""
+    return checked(c.cast("double"), [float(x) for x in range(1, top + 1)], "severity").cast("int")
 
 
 def encode_binary(c: Column, yes: list[str] = ("true", "1"), no: list[str] = ("false", "0")) -> Column:
-    text = F.lower(F.trim(c.cast("string")))
-    return F.when(text.isin(*yes), 1).when(text.isin(*no), 0)
+    """1 or 0, after trimming and lower-casing. An unknown or null flag stops the job."""
+    text = checked(F.lower(F.trim(c.cast("string"))), [*yes, *no], "flag")
+    return text.isin(*yes).cast("int")
 
 
 def encode_nominal(c: Column, levels: list[str]) -> Column:
-    return F.when(c.isin(*levels), c)
+    """The label itself. An unknown or null label stops the job."""
+    return checked(c, list(levels), "nominal label")
 
 
 def working_score(c: Column, scores: dict[str, int]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in scores.items() for x in kv])[c].cast("int")
+    """The declared score of a label. An unknown or null label stops the job."""
+    return F.create_map(*[F.lit(x) for kv in scores.items() for x in kv])[checked(c, list(scores), "scored label")].cast("int")
 
 
 def any_flag(*flags: Column) -> Column:
@@ -88,6 +97,59 @@ def any_flag(*flags: Column) -> Column:
     return reduce(lambda a, b: a | b, [f == 1 for f in flags]).cast("int")
 
 
+#: The bundled outcome sets, their native family, and how each outcome column is coded.
+SCORES7 = {"NORMAL": 1, "STRESS": 2, "ANXIETY": 3, "DEPRESSION": 4, "BIPOLAR": 5, "PERSONALITY DISORDER": 6, "SUICIDAL": 7}
+FLAGS = ["depression", "anxiety", "suicidal", "stress", "bipolar", "personality_disorder"]
+SCHEMA_VERSION = 1
+
+
+def _coded(name: str) -> dict[str, Column]:
+    """Outcome name -> coded column over the raw annotation columns of an outcome set."""
+    flag = lambda c: encode_binary(F.col(c))
+    label = F.upper(F.trim(F.col("label")))
+    sets = {
+        "hate_speech": lambda: {"score": encode_severity(F.col("score"), 3)},
+        "drug_review": lambda: {"score": encode_severity(F.col("score"), 5)},
+        "drug_review_4aspect": lambda: {c: encode_ordinal(F.col(c), ["NEGATIVE", "NEUTRAL", "POSITIVE"]) for c in ("efficacy", "safety", "burden", "cost")},
+        "mental_health_6flag": lambda: {c: flag(c) for c in FLAGS},
+        "mental_health_3group": lambda: {"stress": flag("stress"), "anxiety_depression": any_flag(flag("anxiety"), flag("depression")), "bipolar_personality_suicidal": any_flag(flag("bipolar"), flag("personality_disorder"), flag("suicidal"))},
+        "mental_health_nominal": lambda: {"label": encode_nominal(label, list(SCORES7))},
+        "mental_health_7L": lambda: {"score": working_score(label, SCORES7)},
+        "mental_health_3L": lambda: {"score": working_score(label, {k: 1 if v == 1 else 2 if v <= 3 else 3 for k, v in SCORES7.items()})},
+    }
+    if name not in sets:
+        raise SpecError(f"unknown outcome set {name!r}")
+    return sets[name]()
+
+
+def read_example(spark: SparkSession, name: str, path: str, native: bool = False) -> DataFrame:
+    """One coded panel of an outcome set: item, evaluator, prompt, temp, seed and its outcomes; a null or unknown value stops it.
+
+    ``native``: a Parquet modelling table with a column schema_version, already coded;
+    else the raw annotations as CSV.
+    """
+    from ..operators.audit import reject_nulls
+
+    axes = {"item_id": "item", "evaluator": "evaluator", "prompt_type": "prompt", "temperature": "temp", "seed": "seed"}
+    outcomes = _coded(name)
+    if native:
+        found = spark.read.parquet(path)
+        lost = [c for c in ("schema_version", *axes.values(), *outcomes) if c not in found.columns]
+        if lost:
+            raise SpecError(f"columns missing: {lost}")
+        version = [r[0] for r in found.select("schema_version").distinct().limit(2).collect()]
+        if version != [SCHEMA_VERSION]:
+            raise SpecError(f"schema version {version} is not {SCHEMA_VERSION}")
+        return reject_nulls(found.select(*axes.values(), *outcomes), [*axes.values(), *outcomes])
+    found = spark.read.option("header", True).csv(path)
+    needed = {c.lower() for c in found.columns}
+    lost = [c for c in axes if c not in needed]
+    if lost:
+        raise SpecError(f"columns missing: {lost}")
+    coded = found.select(*[F.col(c).cast("string").alias(n) for c, n in axes.items()], *[c.alias(n) for n, c in outcomes.items()])
+    return reject_nulls(coded, [*axes.values(), *outcomes])
+
+
 def example_catalog(spark: SparkSession) -> DataFrame:
     """name, native_family, outcomes of the bundled outcome sets (schemas only; data are the caller's)."""
     rows = [("hate_speech", "ordinal", 1), ("drug_review", "ordinal", 1), ("drug_review_4aspect", "ordinal", 4), ("mental_health_6flag", "binary", 6), ("mental_health_3group", "binary", 3), ("mental_health_nominal", "categorical", 1), ("mental_health_7L", "gaussian", 1), ("mental_health_3L", "gaussian", 1)]
