@@ -45,18 +45,48 @@ def ordinal_panel(panel: DataFrame, thresholds: list[float], levels: list[str],
     return panel.withColumn("label", N.inverse_cdf_label(u, p, levels))
 
 
-def decision_target(spark: SparkSession, design: Design, levels: dict[str, int], components: dict[str, float], thresholds: list[float], labels: list[str], replications: int = 10, seed: int = 1) -> DataFrame:
-    """Mean agreement of the pluralities of two panels that share their objects, with its Monte Carlo error."""
+def joint_panel(spark: SparkSession, design: Design, levels: dict[str, int], components: dict, outcomes: list[str], means: dict[str, float] | None = None, seed: int = 1, max_rows: int = 1_000_000) -> DataFrame:
+    """The grid with one column per outcome; a source's effects have its covariance matrix (by its eigenvalue root, so a singular one is allowed)."""
+    import numpy as np
+
+    base = grid(spark, levels, max_rows)
+    total = {o: F.lit(float((means or {}).get(o, 0.0))) for o in outcomes}
+    for i, (s, m) in enumerate(components.items()):
+        members = design.variables if s == "Residual" else design.terms[s]
+        values, vectors = np.linalg.eigh(np.asarray(m, float))
+        if values[0] < -1e-8 * (1 + abs(values[-1])):
+            raise SpecError(f"the matrix of {s} is not positive semidefinite")
+        root = vectors * np.sqrt(np.clip(values, 0, None))
+        draw = [N.normal(seed * 1000 + 50 * i + k, *[F.col(x) for x in members]) for k in range(len(outcomes))]
+        for a, o in enumerate(outcomes):
+            for k in range(len(outcomes)):
+                if abs(root[a, k]) > 0:
+                    total[o] = total[o] + float(root[a, k]) * draw[k]
+    return base.withColumns(total)
+
+
+def latent_pairs(spark: SparkSession, design: Design, levels: dict[str, int], components: dict[str, float], replications: int = 10, seed: int = 1) -> DataFrame:
+    """replication, panel (1 or 2), the design columns and the latent ``y`` of pairs of panels that share their objects' effects only."""
     by = spark.range(1, replications + 1).withColumnRenamed("id", "replication").crossJoin(spark.createDataFrame([(1,), (2,)], "panel long"))
     base = grid(spark, levels).crossJoin(F.broadcast(by))  # replications x 2 rows
     y = F.lit(0.0)
     for i, (s, v) in enumerate(components.items()):
         if s == "Residual":
             continue
-        members = [F.col(m) for m in design.terms[s]]
         shared = s == design.object
-        y = y + sqrt(v) * N.normal(seed * 1000 + i, F.col("replication"), *([] if shared else [F.col("panel")]), *members)
-    drawn = ordinal_panel(base.withColumn("y", y), thresholds, labels, seed, ["replication", "panel", *levels])
+        y = y + sqrt(v) * N.normal(seed * 1000 + i, F.col("replication"), *([] if shared else [F.col("panel")]), *[F.col(m) for m in design.terms[s]])
+    return base.withColumn("y", y)
+
+
+def nominal_panel(panel: DataFrame, etas: list[str], levels: list[str], seed: int, keys: list[str]) -> DataFrame:
+    """Labels of a softmax over the latent contrasts (the first level is the reference)."""
+    p = N.softmax([F.lit(0.0), *[F.col(e) for e in etas]])
+    return panel.withColumn("label", N.inverse_cdf_label(N.uniform(seed + 31, *[F.col(k) for k in keys]), p, levels))
+
+
+def decision_target(spark: SparkSession, design: Design, levels: dict[str, int], components: dict[str, float], thresholds: list[float], labels: list[str], replications: int = 10, seed: int = 1) -> DataFrame:
+    """Mean agreement of the pluralities of two panels that share their objects, with its Monte Carlo error."""
+    drawn = ordinal_panel(latent_pairs(spark, design, levels, components, replications, seed), thresholds, labels, seed, ["replication", "panel", *levels])
     unit = F.struct("replication", F.col(design.object).alias("object"))
     a, b = (drawn.where(F.col("panel") == k).withColumn("unit", unit) for k in (1, 2))
     return votes.decision_agreement(a, b, "unit", "label")

@@ -64,6 +64,25 @@ def score_ratio(left: DataFrame, right: DataFrame, item: str) -> DataFrame:
     return rows.withColumn("i", influence).agg(F.first("signal").alias("signal_variance"), F.first("total").alias("total_variance"), (F.first("signal") / F.first("total")).alias("raw_estimate"), F.sqrt(F.var_samp("i") / F.count("*")).alias("mc_se"))
 
 
+def vector_ratio(left: DataFrame, right: DataFrame, item: str, categories: list[str]) -> DataFrame:
+    """One row: signal, total and raw ratio of the vector of category probabilities, with a delta standard error, from two panels' item moments.
+
+    Signal: the sum over categories of the covariance of both panels' means; total: the mean second moment less the squared mean vector.
+    """
+    m = left.select(item, *[F.col(c).alias(f"l_{c}") for c in categories], F.col("second").alias("sl")).join(right.select(item, *[F.col(c).alias(f"r_{c}") for c in categories], F.col("second").alias("sr")), item)
+    dot = reduce(lambda a, b: a + b, [F.col(f"l_{c}") * F.col(f"r_{c}") for c in categories])
+    m = m.withColumns({"c": dot, "s": (F.col("sl") + F.col("sr")) / 2})
+    a = m.agg(*[F.avg(f"{k}_{c}").alias(f"m{k}_{c}") for k in "lr" for c in categories], F.avg("c").alias("mc"), F.avg("s").alias("ms"))
+    mid = {c: (F.col(f"ml_{c}") + F.col(f"mr_{c}")) / 2 for c in categories}
+    add = lambda parts: reduce(lambda x, y: x + y, parts)
+    a = a.withColumns({"signal": F.col("mc") - add([F.col(f"ml_{c}") * F.col(f"mr_{c}") for c in categories]), "total": F.col("ms") - add([mid[c] * mid[c] for c in categories])})
+    rows = m.crossJoin(F.broadcast(a))  # one row
+    t, sig = F.col("total"), F.col("signal")
+    g = lambda gs, gt: (F.lit(1.0) * gs * t - sig * gt) / (t * t)
+    influence = add([F.col(f"l_{c}") * g(-F.col(f"mr_{c}"), -mid[c]) + F.col(f"r_{c}") * g(-F.col(f"ml_{c}"), -mid[c]) for c in categories]) + F.col("c") * g(F.lit(1.0), F.lit(0.0)) + F.col("s") * g(F.lit(0.0), F.lit(1.0))
+    return rows.withColumn("i", influence).agg(F.first("signal").alias("signal_variance"), F.first("total").alias("total_variance"), (F.first("signal") / F.first("total")).alias("raw_estimate"), F.sqrt(F.var_samp("i") / F.count("*")).alias("mc_se"))
+
+
 def replicate_agreement(panel: DataFrame, cell: list[str], condition: str, label: str) -> DataFrame:
     """condition, cells, agreement: the share of cells whose replicates all carry one label."""
     g = panel.groupBy(*cell, condition).agg(F.count_distinct(label).alias("d"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import spec as S
-from ..operators import discrete, fit, resampling, simulate
+from ..operators import audit, discrete, fit, methods, preflight, resampling, simulate, studies
 from ..sources import panels as P
 
 AXES = ["p_brand", "l_returnflag", "l_linestatus"]
@@ -44,111 +44,155 @@ def observed_row_fit(spark, d):
     return spark.createDataFrame([(s, v, dev) for s, v in at.items()], "source string, component double, deviance double")
 
 
-DESIGN = S.design("item", ["rater"], full_cell=False)
-LEVELS = {"item": 18, "rater": 6}
+# ------------------------------------------------- discrete fits of table columns
 
+BY_SOURCE = S.design("source", ["lang"], full_cell=False)
+BY_NATION = S.design("nation", ["year"], full_cell=False)
+BY_HOUR = S.design("hour", ["dow"], full_cell=False)
+FLAG = S.Family("binary", "logit", (0, 1))
+PRIORITY = S.Family("ordinal", "logit", ("5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"))
+EVENT = S.Family("categorical", None, ("click", "error", "purchase", "signup", "view"))
 
-def _latent(spark, seed=5):
-    return simulate.gaussian_panel(spark, S.design("item", ["rater"]).resolve("gaussian"), LEVELS, {"item": 1.5, "rater": 0.2}, seed=seed)
 
+def judged(spark, d):
+    """Labelled documents: source, lang, quality, toxic."""
+    return P.table(spark, d, "documents").select("doc_id", "source", "lang").join(P.table(spark, d, "labels"), "doc_id").where("source IS NOT NULL AND lang IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select("source", "lang", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
 
-def _discrete_fit(spark, thresholds, labels, family):
-    panel = simulate.ordinal_panel(_latent(spark), thresholds, labels, 5, ["item", "rater"])
-    levels, rows = discrete.collapse(panel, DESIGN, "label", family)
-    return discrete.fit_laplace(rows, DESIGN, "label", family, levels)
 
+def prioritised(spark, d):
+    """Orders: nation of the customer, year, priority."""
+    o = P.table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("label"))
+    c = P.table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("nation", "year", "label")
 
-def _laplace(spark, thresholds, labels, family):
-    f = _discrete_fit(spark, thresholds, labels, family)
-    return spark.createDataFrame([(s, v, f.nll, f.accepted) for s, v in f.variances.items()], "source string, variance double, nll double, accepted boolean")
+
+def timed(spark, d):
+    """Events: hour, weekday, kind."""
+    return P.event_hours(spark, d).select("hour", "dow", F.col("event_type").alias("label"))
+
+
+def _laplace(spark, f):
+    return f.table(spark).withColumns({"nll": F.lit(f.nll), "accepted": F.lit(f.accepted)})
 
 
 def laplace_fit_binary(spark, d):
-    return _laplace(spark, [0.0], ["no", "yes"], S.Family("binary", "logit", ("no", "yes")))
+    return _laplace(spark, discrete.fit_discrete(judged(spark, d), BY_SOURCE, "quality", FLAG))
+
+
+def laplace_fit_joint(spark, d):
+    """Two outcomes that share their sources, with their covariances."""
+    return _laplace(spark, discrete.fit_discrete(judged(spark, d), BY_SOURCE, ["quality", "toxic"], [FLAG, FLAG], covariance={"lang": "diagonal"}))
 
 
 def laplace_fit_ordinal(spark, d):
-    return _laplace(spark, [-0.7, 0.6], ["low", "mid", "high"], S.Family("ordinal", "logit", ("low", "mid", "high")))
+    return _laplace(spark, discrete.fit_discrete(prioritised(spark, d), BY_NATION, "label", PRIORITY))
 
 
 def laplace_fit_nominal(spark, d):
-    return _laplace(spark, [-0.7, 0.6], ["a", "b", "c"], S.Family("categorical", None, ("a", "b", "c")))
+    return _laplace(spark, discrete.fit_discrete(timed(spark, d), BY_HOUR, "label", EVENT))
 
 
-def simulate_panel(spark, d):
-    design = S.design("item", ["rater", "occasion"]).resolve("gaussian")
-    return simulate.gaussian_panel(spark, design, {"item": 24, "rater": 4, "occasion": 2}, {"item": 2.0, "rater": 0.4, "occasion": 0.2, "item:rater": 1.2, "item:occasion": 0.1, "rater:occasion": 0.3, "Residual": 0.6}, seed=3)
+def laplace_check(spark, d):
+    f = discrete.fit_discrete(judged(spark, d), BY_SOURCE, "quality", FLAG)
+    return discrete.laplace_check(spark, f, 5000, 3)
 
 
-def categorical_target(spark, d):
-    return simulate.decision_target(spark, DESIGN, {"item": 50, "rater": 5}, {"item": 1.5, "rater": 0.2}, [-0.7, 0.6], ["low", "mid", "high"], 10, 4)
+def discrete_diagnostics(spark, d):
+    return methods.diagnostics(spark, discrete.fit_discrete(judged(spark, d), BY_SOURCE, "quality", FLAG)).drop("reason")
+
+
+def preflight_discrete(spark, d):
+    return preflight.as_table(spark, preflight.discrete_checks(prioritised(spark, d), BY_NATION, ["label"], [PRIORITY])).drop("detail")
+
 
+def preflight_observed(spark, d):
+    return preflight.as_table(spark, preflight.observed_checks(P.event_hours(spark, d), S.design("event_type", ["hour", "dow"], full_cell=False))).drop("detail")
 
-def _refit(pdf, keys):
-    """REML components, G at the panel's own allocation and its standard error of one complete panel (item x rater); nulls where no fit is accepted."""
-    import numpy as np
-    import pandas as pd
 
-    out = {k: [pdf[k].iloc[0]] for k in keys} | {"status": ["fit_error"]} | {c: [None] for c in FITTED}
-    y = pdf.pivot(index="item", columns="rater", values="y").to_numpy()
-    n, m = y.shape
-    a, b, g = y.mean(1), y.mean(0), y.mean()
-    ss = {0: n * m * g**2, 1: m * ((a - g) ** 2).sum(), 2: n * ((b - g) ** 2).sum(), 3: ((y - a[:, None] - b[None, :] + g) ** 2).sum()}
-    if min(n, m) > 1 and ss[1] + ss[2] + ss[3] > 0:
-        df = {0: 1.0, 1: n - 1.0, 2: m - 1.0, 3: (n - 1.0) * (m - 1.0)}
-        p = fit.Prepared(["item", "rater"], ["y"], [n, m], df, {k: np.array([[v]]) for k, v in ss.items()})
-        try:
-            f = fit.fit_prepared(p, S.design("item", ["rater"]).resolve("gaussian"))
-        except np.linalg.LinAlgError:
-            return pd.DataFrame(out)
-        out["status"] = ["accepted" if f.accepted else "numerically_refused"]
-        if f.accepted:
-            at = [float(f.components[s][0, 0]) for s in ("item", "rater", S.RESIDUAL)]
-            out |= dict(zip(FITTED, [[v] for v in (*at, *fit.coefficient(f, {"rater": m}))], strict=True))
-    return pd.DataFrame(out)
+def source_pairs(spark, d):
+    return preflight.source_pairs(P.event_hours(spark, d), S.design("event_type", ["hour", "dow"], full_cell=False))
 
 
-FITTED = ("item_variance", "rater_variance", "residual", "Erho2", "Erho2_se")
+# ------------------------------------------------- studies of table panels
 
+PRICE = S.design("p_brand", ["l_returnflag", "l_linestatus"]).resolve("gaussian")
+COUNTS = {"l_returnflag": 3, "l_linestatus": 2}
 
-def _refits(panel, keys):
-    ddl = ", ".join([*[f"{k} long" for k in keys], "status string", *[f"{c} double" for c in FITTED]])
-    return panel.groupBy(*keys).applyInPandas(lambda p: _refit(p, keys), ddl)
 
+def _price_fit(spark, d):
+    panel = P.price_panel(spark, d).cache()
+    return panel, fit.fit_gaussian(panel, ["price"], PRICE)
 
-def _bootstrap(spark):
-    panel = simulate.gaussian_panel(spark, S.design("item", ["rater"]).resolve("gaussian"), {"item": 40, "rater": 5}, {"item": 1.5, "rater": 0.3, "Residual": 0.8}, seed=9)
-    rows = resampling.resample(panel, resampling.draws(panel, "item", 100, 17), "item")
-    return _refits(rows, ["attempt"])
+
+def fitted_dstudy(spark, d):
+    """Coefficients of the fit with errors and bounds over a grid, composite included."""
+    f = fit.fit_gaussian(P.price_panel(spark, d), ["price", "quantity"], PRICE)
+    grid = [{"l_returnflag": a, "l_linestatus": b} for b in (1, 2) for a in (1, 2, 3)]
+    return fit.fitted_table(spark, f, grid, {"both": S.Score({"price": 1.0, "quantity": 2.0})}, observed=COUNTS)
+
+
+def fit_summary(spark, d):
+    return methods.summary(spark, _price_fit(spark, d)[1])
 
 
 def bootstrap_fit(spark, d):
-    long = _bootstrap(spark).unpivot(["attempt"], ["item_variance", "rater_variance", "residual", "Erho2"], "component", "value")
-    return resampling.intervals(long, ["component"], "value")
+    panel, f = _price_fit(spark, d)
+    records = studies.bootstrap(panel, PRICE, ["price"], COUNTS, 60, 17, 70)
+    estimates = {f"component_{s}_price": float(m[0, 0]) for s, m in f.components.items()}
+    for kind in ("Erho2", "Phi"):
+        estimates[kind] = fit.coefficient(f, COUNTS, "price", kind=kind)[0]
+    return studies.intervals(records, estimates)
 
 
-def _pilot(spark):
-    """status, accepted, bounds and width of each attempt: simulated, refitted, interval of G."""
-    from ..operators.reliability import logit_interval
+def _components(spark, d):
+    return {s: float(m[0, 0]) for s, m in _price_fit(spark, d)[1].components.items()}
 
-    by = spark.range(1, 41).select(((F.col("id") - 1) % 2 + 1).alias("design_id"), F.col("id").alias("replicate"))
-    design = S.design("item", ["rater"]).resolve("gaussian")
-    panel = simulate.gaussian_panel(spark, design, {"item": 30, "rater": 4}, {"item": 1.5, "rater": 0.3, "Residual": 0.8}, seed=2, by=by)
-    lo, hi = logit_interval(F.col("Erho2"), F.col("Erho2_se"))
-    fits = _refits(panel, ["design_id", "replicate"]).withColumns({"accepted": F.col("status") == "accepted", "lower": lo, "upper": hi})
-    have = F.col("lower").isNotNull() & F.col("upper").isNotNull()
-    fits = fits.withColumns({"interval_available": have, "width": F.col("upper") - F.col("lower")})
-    return fits.withColumn("status", F.when(F.col("accepted") & ~have, "interval_unavailable").otherwise(F.col("status")))
+
+GRID = [{"l_returnflag": 2, "l_linestatus": 2}, {"l_returnflag": 4, "l_linestatus": 2}]
 
 
 def pilot_plan(spark, d):
-    return resampling.pilot_summary(_pilot(spark), 0.1)
+    """Pilots with the price panel's fitted components: interval widths of two allocations."""
+    return resampling.pilot_summary(studies.pilot(spark, PRICE, GRID, 30, _components(spark, d), 20, 2), 0.1)
 
 
-def laplace_check(spark, d):
-    f = _discrete_fit(spark, [0.0], ["no", "yes"], S.Family("binary", "logit", ("no", "yes")))
-    return discrete.laplace_check(spark, f, 5000, 3)
+def pilot_target(spark, d):
+    """The same pilots against the coefficient that their components have."""
+    at = _components(spark, d)
+    return studies.pilot_target_summary(studies.pilot(spark, PRICE, GRID, 30, at, 20, 2), studies.reference_coefficients(spark, PRICE, GRID, at))
+
+
+def simulate_panel(spark, d):
+    """A new panel with the components that the price panel was fitted with."""
+    return studies.simulated_from(_price_fit(spark, d)[1], spark, 24, {"l_returnflag": 4, "l_linestatus": 2}, 3)
+
+
+def _ordinal(spark, d):
+    f = discrete.fit_discrete(prioritised(spark, d), BY_NATION, "label", PRIORITY)
+    return {s: max(v, 0.05) for s, v in f.variances.items()}, [float(t) for t in f.thresholds]
+
+
+def categorical_target(spark, d):
+    """Three targets of the fitted ordinal outcome, from pairs of simulated panels."""
+    at, cuts = _ordinal(spark, d)
+    parts = [studies.categorical_target(spark, BY_NATION, {"year": 5}, at, cuts, list(PRIORITY.levels), t, None, 50, 10, 4) for t in ("decision_agreement", "observed_score", "category_vector")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def categorical_plan(spark, d):
+    at, cuts = _ordinal(spark, d)
+    cost = {"annotation": 0.05 * F.col("allocation_year")}
+    return studies.categorical_plan(spark, BY_NATION, [{"year": n} for n in (2, 4, 8)], at, cuts, list(PRIORITY.levels), cost, 0.5, "observed_score", 40, 5, 6)
+
+
+def kernel_rank(spark, d):
+    rank, n = audit.kernel_rank(P.event_panel(spark, d), S.design("user_id", ["event_type"], full_cell=False))
+    return spark.createDataFrame([(rank, n)], "rank int, sources int")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (reml_fit, ml_fit_joint, reliability_intervals, observed_row_fit, laplace_fit_binary, laplace_fit_ordinal, laplace_fit_nominal, simulate_panel, categorical_target, bootstrap_fit, pilot_plan, laplace_check)}
+    every = (
+        reml_fit, ml_fit_joint, reliability_intervals, observed_row_fit, laplace_fit_binary, laplace_fit_joint, laplace_fit_ordinal, laplace_fit_nominal, laplace_check, discrete_diagnostics,
+        preflight_discrete, preflight_observed, source_pairs, fitted_dstudy, fit_summary, bootstrap_fit, pilot_plan, pilot_target, simulate_panel, categorical_target, categorical_plan, kernel_rank,
+    )
+    return {f.__name__: f for f in every}

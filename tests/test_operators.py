@@ -192,37 +192,3 @@ def test_streaming_counts(spark, panel, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["rows"] for r in spark.table("cells").collect()} == {36}
-
-
-def test_pilot_and_bootstrap_refit_by_reml(spark):
-    import pandas as pd
-
-    from panelgauge.plans import model_queries as Q
-
-    design = S.design("item", ["rater"]).resolve("gaussian")
-    p = simulate.gaussian_panel(spark, design, {"item": 12, "rater": 3}, {"item": 1.5, "rater": 0.0, "Residual": 2.0}, seed=4)
-    f = fit.fit_gaussian(p, ["y"], design)
-    got = Q._refit(p.toPandas().assign(attempt=1), ["attempt"]).iloc[0]
-    assert got["status"] == "accepted" and got[["item_variance", "rater_variance", "residual"]].tolist() == pytest.approx([f.components[s][0, 0] for s in ("item", "rater", "Residual")], abs=1e-4)
-    assert (got["Erho2"], got["Erho2_se"]) == pytest.approx(fit.coefficient(f, {"rater": 3}), abs=1e-4)
-    flat = Q._refit(pd.DataFrame([(i, r, 1.0, 1) for i in range(3) for r in range(2)], columns=["item", "rater", "y", "attempt"]), ["attempt"]).iloc[0]
-    assert flat["status"] == "fit_error" and flat["Erho2"] is None
-    for r in Q._pilot(spark).collect():
-        assert r["interval_available"] == (r["width"] is not None)
-        assert r["width"] is None or 0 < r["lower"] < r["Erho2"] < r["upper"] < 1 and r["width"] == pytest.approx(r["upper"] - r["lower"])
-
-
-def test_laplace_check_against_quadrature(spark):
-    cells = [(i, r) for i in range(2) for r in range(2)]
-    loading = np.array([[[1.2 * (i == 0), 1.2 * (i == 1), 0.7 * (r == 0), 0.7 * (r == 1)]] for i, r in cells])
-    code, counts = np.array([0, 1, 1, 0]), np.array([4.0, 2.0, 3.0, 1.0])
-    hessian = np.eye(4) + 0.25 * np.einsum("r,rk,rl->kl", counts, loading[:, 0], loading[:, 0])  # any proposal gives the same mean
-    f = discrete.DiscreteFit(S.design("item", ["rater"], full_cell=False), S.Family("binary", "logit", ("no", "yes")), ("no", "yes"), {"item": 1.44, "rater": 0.49}, np.array([0.3]), 7.0, True, np.zeros(4), hessian, loading, code, counts)
-    x, w = np.polynomial.hermite_e.hermegauss(15)
-    u = np.array(list(itertools.product(x, repeat=4)))
-    eta = (u @ f.loading[:, 0].T).reshape(-1, 1)
-    nll = discrete.row_nll(f.family, eta, np.tile(f.code, len(u)), f.thresholds).reshape(len(u), -1) @ f.counts
-    want = -2 * np.log((np.prod(np.array(list(itertools.product(w / w.sum(), repeat=4))), 1) * np.exp(-nll)).sum())
-    got = discrete.laplace_check(spark, f, 3000, 2).first()
-    assert 0 < got["mc_se"] < 0.2 and abs(got["refined_minus2loglik"] - want) < 4 * got["mc_se"]
-    assert got["difference"] == pytest.approx(2 * f.nll - got["refined_minus2loglik"]) and got["usable"]
