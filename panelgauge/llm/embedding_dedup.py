@@ -171,3 +171,16 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings, whatever their labels."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+#: All pairs; hashing finds fewer only if a pair shares no key (see Recall).
+SQL8 = r"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+u AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+l AS (SELECT x AS u, y AS v FROM p UNION ALL SELECT y, x FROM p),
+n AS (SELECT u, count(*) AS n FROM l GROUP BY u),
+r AS (SELECT vec_id, vec_id AS reach FROM embeddings UNION SELECT r.vec_id, l.v FROM r JOIN l ON r.reach = l.u)
+SELECT r.vec_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_links, min(reach) AS component_id, r.vec_id = min(reach) AS kept
+FROM r LEFT JOIN n ON r.vec_id = n.u GROUP BY r.vec_id
+"""

@@ -146,7 +146,7 @@ def mix_sources(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_c
     pattern = F.when(F.coalesce(F.size(named), F.lit(0)) < 1, F.array(F.lit(NULL_SOURCE))).otherwise(named)
     kept = F.struct(*[F.col(f"`{c}`").alias(c) for c in keep]) if keep else F.lit(None).cast("struct<none: int>")
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), word_count(F.col(f"`{text_col}`").cast("string")).alias("size"), pattern.alias("pattern"), kept.alias("kept")).withColumn("row_key", F.monotonically_increasing_id())
-    base = base.withColumn("draw", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)))
+    base = base.withColumn("draw", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 10), 16, 10).cast("long"))
     base = write_cut(base, "mix")
     sums = base.groupBy("pattern").agg(F.sum("size").alias("n")).limit(max_patterns + 1).collect()
     if len(sums) > max_patterns:
@@ -189,3 +189,23 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = spark.createDataFrame([(s, float(x)) for s, x in targets.items()], "t_source string, target double")
     side = F.broadcast(per.join(t, F.col("source").eqNullSafe(F.col("t_source"))).select(F.col("source").alias("s"), "source_size", "target"))  # one row per source, bounded by max_patterns
     return got.join(side, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: One source per document, so the cheapest flow fills each target in order; targets by water-filling instead of rounds.
+SQL4 = r"""
+WITH b AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+           CAST('0x' || substr(md5('11:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 10) AS BIGINT) AS draw FROM documents),
+s AS (SELECT source, sum(size) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM b GROUP BY source),
+w AS (SELECT source, CAST(n AS DOUBLE) AS n, k, [5, 2, 1][(k - 1) % 3 + 1] AS w FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY 2 * n / w, k) AS m FROM w),
+c AS (SELECT a.m, coalesce(sum(2 * b.n), 0) AS capped, coalesce(sum(b.w), 0) AS gone FROM o a LEFT JOIN o b ON b.m < a.m GROUP BY a.m),
+z AS (SELECT 1.5 * sum(n) AS total, sum(w) AS whole FROM o),
+l AS (SELECT o.m, (total - capped) / (whole - gone) <= 2 * n / w AS fits, total - capped AS rest, whole - gone AS free FROM o JOIN c ON o.m = c.m, z),
+f AS (SELECT min(m) AS m FROM l WHERE fits),
+t AS (SELECT source, n, CASE WHEN o.m < coalesce(f.m, 1 << 30) THEN 2 * n ELSE l.rest * w / l.free END AS target FROM o, f LEFT JOIN l ON l.m = f.m),
+r AS (SELECT b.*, CAST(n AS BIGINT) AS source_size, target, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END AS whole, coalesce(sum(size) OVER (PARTITION BY b.source ORDER BY draw, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * whole + CASE WHEN source_size > 0 THEN greatest(0, least(size, round_even(target - whole * source_size, 0) - before)) ELSE 0 END AS BIGINT) AS taken
+FROM r
+"""

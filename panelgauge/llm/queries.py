@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .embedding_dedup import op8_embedding_dedup
+from .embedding_dedup import SQL8, op8_embedding_dedup
 from .html_extract import op7_html_extract
-from .jaccard_join import op2_jaccard_join
+from .jaccard_join import SQL2, op2_jaccard_join
 from .line_dedup import SQL10, op10_line_dedup
-from .mixing import op4_mixing
+from .mixing import SQL4, op4_mixing
 from .packing import op5_packing
 from .quality import op3_quality
-from .suffix_dedup import op1_suffix_dedup
+from .suffix_dedup import SQL1, op1_suffix_dedup
 from .token_store import op6_token_store
 from .warc import SQL9, op9_warc
 
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": SQL9, "op10_line_dedup": SQL10}
+    return {"op1_suffix_dedup": SQL1, "op2_jaccard_join": SQL2, "op4_mixing": SQL4, "op8_embedding_dedup": SQL8, "op9_warc": SQL9, "op10_line_dedup": SQL10}

@@ -403,3 +403,20 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, 50-byte matches."""
     got = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return got.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every 50-byte string written out as hex, in pieces of 500 starts.
+SQL1 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, j, substr(h, 1000 * j + 1, 1098) AS h FROM (SELECT doc_id, h, unnest(range(0, len(h) // 1000 + 1)) AS j FROM d)),
+w AS (SELECT doc_id, 500 * j + i AS i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, j, h, unnest(range(0, greatest(least(500, len(h) // 2 - 49), 0))) AS i FROM c)),
+f AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s),
+g AS (SELECT w.doc_id, w.i, CASE WHEN w.i - lag(w.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) <= 50 THEN 0 ELSE 1 END AS fresh FROM w JOIN f ON w.s = f.s WHERE f.first_id < w.doc_id),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g) GROUP BY doc_id, k),
+q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM r),
+z AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS tail FROM r GROUP BY doc_id),
+k AS (SELECT q.doc_id, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS head FROM q JOIN d ON q.doc_id = d.doc_id GROUP BY q.doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN z.doc_id IS NULL THEN h ELSE head || substr(h, 2 * tail + 1) END)) AS kept_sha256
+FROM d LEFT JOIN z ON d.doc_id = z.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
+"""
