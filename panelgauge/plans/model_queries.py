@@ -88,6 +88,18 @@ def laplace_fit_ordinal(spark, d):
     return _laplace(spark, discrete.fit_discrete(prioritised(spark, d), BY_NATION, "label", PRIORITY))
 
 
+LARGE = S.design("item", ["evaluator", "prompt"], random=["item", "evaluator", "prompt", "item:evaluator", "item:prompt", "evaluator:prompt"], replicates=18)
+LARGE_AT = {"item": 1.44, "evaluator": 0.25, "prompt": 0.09, "item:evaluator": 0.36, "item:prompt": 0.16, "evaluator:prompt": 0.09}
+
+
+def laplace_fit_large(spark, d):
+    """An ordinal fit of 21,600 simulated rows with 819 random effects and 8 parameters (reads no table: it times the engine)."""
+    sizes = {"item": 100, "evaluator": 4, "prompt": 3, "temp": 6, "seed": 3}
+    latent = simulate.gaussian_panel(spark, S.design("item", ["evaluator", "prompt", "temp", "seed"], random=list(LARGE.terms)), sizes, LARGE_AT, seed=6)
+    panel = simulate.ordinal_panel(latent, [-1.0, 1.0], ["low", "mid", "high"], 8, list(sizes))
+    return _laplace(spark, discrete.fit_discrete(panel, LARGE, "label", S.Family("ordinal", "logit", ("low", "mid", "high"))))
+
+
 def laplace_fit_nominal(spark, d):
     return _laplace(spark, discrete.fit_discrete(timed(spark, d), BY_HOUR, "label", EVENT))
 
@@ -192,7 +204,7 @@ def kernel_rank(spark, d):
 
 def queries() -> dict:
     every = (
-        reml_fit, ml_fit_joint, reliability_intervals, observed_row_fit, laplace_fit_binary, laplace_fit_joint, laplace_fit_ordinal, laplace_fit_nominal, laplace_check, discrete_diagnostics,
+        reml_fit, ml_fit_joint, reliability_intervals, observed_row_fit, laplace_fit_binary, laplace_fit_joint, laplace_fit_ordinal, laplace_fit_large, laplace_fit_nominal, laplace_check, discrete_diagnostics,
         preflight_discrete, preflight_observed, source_pairs, fitted_dstudy, fit_summary, bootstrap_fit, pilot_plan, pilot_target, simulate_panel, categorical_target, categorical_plan, kernel_rank,
     )
     return {f.__name__: f for f in every}
