@@ -11,8 +11,12 @@ bucket is split into blocks of about ``block`` classes; each pair of blocks is a
 task group of its own, so no bucket lands in one task. A group returns link
 counts and a spanning set of its links, never its pairs.
 
-Recall: with width 1.0, 6 hashes and 32 tables 99.8 % of 20,000 random pairs at cosine 0.95
-shared a key, 99.98 % at 0.97 (16 tables: 95.7 % and 99.4 %). Pairs below the threshold are never linked.
+The number of hashes grows with the logarithm of the number of vectors, so that about
+``crowd`` unrelated vectors share a bucket at any size; the number of tables follows so
+that a pair at the threshold shares a key with probability 1 - ``miss``.
+
+Recall: 6 hashes and 32 tables (up to 64,000 vectors): 99.8 % of 20,000 random pairs at cosine 0.95
+shared a key, 99.98 % at 0.97. Pairs below the threshold are never linked.
 
 Defined results
   null or zero vectors, null or non-finite components   linked with nothing
@@ -25,6 +29,7 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +40,19 @@ from pyspark.sql import functions as F
 from .common import connected_components, write_cut
 
 
+def same_cell(distance: float, width: float) -> float:
+    """Chance that a random projection puts two vectors at that distance into one step."""
+    r = width / distance
+    return 1 - math.erfc(r / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
+
+
+def table_plan(n: int, threshold: float, width: float, crowd: float = 25.0, miss: float = 0.0025) -> tuple[int, int]:
+    """(hashes, tables) for so many vectors; unrelated unit vectors are about the root of 2 apart."""
+    near, far = same_cell(math.sqrt(2 - 2 * threshold), width), same_cell(math.sqrt(2), width)
+    hashes = max(6, math.ceil(math.log(max(n, 1) / crowd) / -math.log(far)))
+    return hashes, math.ceil(math.log(miss) / math.log1p(-(near**hashes)))
+
+
 def projections(dim: int, tables: int, hashes: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng([seed, dim])
     return rng.standard_normal((dim, tables * hashes)), rng.random(tables * hashes)
@@ -136,8 +154,12 @@ def _compare(threshold: float, tables: int):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", width: float = 1.0, hashes: int = 6, tables: int = 32, seed: int = 7, block: int = 1024) -> DataFrame:
-    """vec_id, n_links, component_id for every row."""
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", width: float = 1.0, hashes: int | None = None, tables: int | None = None, seed: int = 7, block: int = 1024) -> DataFrame:
+    """vec_id, n_links, component_id for every row. ``hashes`` and ``tables`` follow from the number of vectors where they are not given."""
+    if not 0 < threshold < 1:
+        raise ValueError("threshold must lie between 0 and 1")
+    planned = table_plan(vectors.count(), threshold, width) if hashes is None or tables is None else (0, 0)
+    hashes, tables = hashes or planned[0], tables or planned[1]
     base = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
     hashed = base.mapInArrow(_hash(tables, hashes, width, seed), "vec_id long, unit binary, keys array<long>")
     rows = write_cut(hashed.withColumn("row_key", F.monotonically_increasing_id()), "vectors")

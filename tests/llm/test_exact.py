@@ -640,15 +640,17 @@ def test_warc_urls_cannot_forge_headers(spark, tmp_path):
 
 
 def test_embedding_recall_just_above_the_threshold():
-    import inspect
-
-    o = {k: v.default for k, v in inspect.signature(embedding_dedup.near_duplicates).parameters.items()}
+    hashes, tables = embedding_dedup.table_plan(8000, 0.95, 1.0)
+    assert (hashes, tables) == embedding_dedup.table_plan(60_000, 0.95, 1.0) == (6, 32) and embedding_dedup.table_plan(10**9, 0.95, 1.0)[0] == 14
+    for d in (0.3, 1.0, 1.4):
+        cells = np.random.default_rng(1).normal(size=200_000) * d
+        assert embedding_dedup.same_cell(d, 1.0) == pytest.approx(np.clip(1 - np.abs(cells), 0, 1).mean(), abs=0.005)
     rng = np.random.default_rng(11)
     unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
     a = unit(rng.normal(size=(8000, 64)))
     r = rng.normal(size=a.shape)
     cos = rng.uniform(0.95, 0.97, (len(a), 1))
     b = cos * a + np.sqrt(1 - cos**2) * unit(r - (r * a).sum(1, keepdims=True) * a)
-    ka, kb = (embedding_dedup.table_keys(v, o["tables"], o["hashes"], o["width"], o["seed"]) for v in (a, b))
+    ka, kb = (embedding_dedup.table_keys(v, tables, hashes, 1.0, 7) for v in (a, b))
     recall = (ka == kb).any(1).mean()
     assert recall >= 0.995
