@@ -39,12 +39,13 @@ def recorded_audit(panel: DataFrame, object: str, call: str, facets: list[str],
     """One row: calls, batches, spanning, repeated, oversized, tied calls, largest call, fixed composition."""
     groups = panel.groupBy(call).agg(
         F.count("*").alias("rows"), F.count_distinct(object).alias("items"), F.count_distinct(F.struct(*facets)).alias("conditions"), F.count_distinct(order).alias("orders"),
-        F.array_sort(F.collect_set(object)).alias("members"), F.min(F.struct(*facets)).alias("condition"),
-    )  # a call holds at most a request's items
-    layouts = groups.groupBy("condition").agg(F.array_sort(F.collect_set("members")).alias("layout")).agg(F.count_distinct("layout").alias("layouts"))
+        F.sha2(F.to_json(F.array_sort(F.collect_set(object))), 256).alias("members"), F.min(F.struct(*facets)).alias("condition"),
+    )  # a call holds at most a request's items; from here on its members are one digest
+    seen = groups.groupBy("condition", "members").agg(F.lit(1).alias("one"))
+    fixed = seen.agg((F.count("*") == F.count_distinct("condition") * F.count_distinct("members")).alias("fixed_composition"))
     flag = lambda c: F.sum(c.cast("long"))
     one = groups.agg(F.count("*").alias("calls"), F.count_distinct("members").alias("batches"), flag(F.col("conditions") > 1).alias("spanning"), flag(F.col("rows") > F.col("items")).alias("repeated"), flag(F.col("rows") > size).alias("oversized"), flag(F.col("orders") < F.col("rows")).alias("tied"), F.max("rows").alias("largest"))
-    return one.crossJoin(F.broadcast(layouts)).select("*", (F.col("layouts") == 1).alias("fixed_composition")).drop("layouts")
+    return one.crossJoin(F.broadcast(fixed))  # one row each
 
 
 def eligibility(layout: DataFrame, panel: DataFrame, axes: list[str], size: int) -> DataFrame:

@@ -37,3 +37,21 @@ def hashed_place(df: DataFrame, keys: list[str], slices: int = SLICES) -> DataFr
     """df with ``place`` (from 1) in the order of a hash of the keys."""
     h = F.xxhash64(F.lit(41), *keys)
     return _placed(df, F.pmod(F.shiftrightunsigned(h, 40), F.lit(slices)).cast("int"), [h, *keys])
+
+
+def grouped_rank(df: DataFrame, by: list[str], order: str, slices: int = SLICES) -> DataFrame:
+    """df with ``rank`` (from 1) and ``size`` within its group, in the order of a numeric column.
+
+    A group of any size is ranked in slices of the whole column's order, so it is never one task's rows.
+    """
+    value = F.col(order).cast("double")
+    cuts = sorted(set(df.select(value.alias("v")).approxQuantile("v", [i / slices for i in range(1, slices)], 0.005)))
+    part = F.lit(0)
+    for c in cuts:
+        part = part + F.coalesce(value > c, F.lit(False)).cast("int")
+    sliced = df.withColumn("__slice", part)
+    counts = sliced.groupBy(*by, "__slice").agg(F.count("*").alias("__n"))  # at most ``slices`` rows for each group
+    group = Window.partitionBy(*by)
+    places = counts.select(*by, "__slice", F.coalesce(F.sum("__n").over(group.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__n").over(group).alias("size"))
+    inside = F.row_number().over(Window.partitionBy(*by, "__slice").orderBy(order))
+    return sliced.withColumn("__inside", inside).join(places, [*by, "__slice"]).withColumn("rank", F.col("__inside") + F.col("__before")).drop("__slice", "__inside", "__before")

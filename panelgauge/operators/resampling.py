@@ -7,9 +7,8 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import quantile6
 from ..spec import SpecError
-from .ranking import hashed_place
+from .ranking import grouped_rank, hashed_place
 
 MINIMUM = 50
 
@@ -34,10 +33,18 @@ def intervals(replicates: DataFrame, by: list[str], value: str, level: float = 0
     if not 0 < level < 1:
         raise SpecError("level must lie between 0 and 1")
     a = (1 - level) / 2
-    g = replicates.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("v"), F.stddev_samp(value).alias("sd"))  # a group holds one bootstrap's replicates
-    n = F.size("v")
+    rows = grouped_rank(replicates.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(value).cast("double").alias("v")), by, "v")
+    n = F.col("size")
+    place = lambda p: F.least(F.greatest((n + 1) * F.lit(p), F.lit(1.0)), n.cast("double"))
+    at = lambda k: F.max(F.when(F.col("rank") == F.least(k, n), F.col("v")))
+    ends = {}
+    for name, p in (("lower", a), ("upper", 1 - a)):
+        ends |= {f"{name}_0": at(F.floor(place(p))), f"{name}_1": at(F.floor(place(p)) + 1)}
+    g = rows.groupBy(*by).agg(F.first("size").alias("size"), F.stddev_samp("v").alias("sd"), *[c.alias(k) for k, c in ends.items()])
     ok = (n >= minimum) & (F.lit(a) * (n + 1) >= 1)
-    return g.select(*by, F.when(n >= minimum, F.col("sd")).alias("se"), F.when(ok, quantile6(F.col("v"), a)).alias("lower"), F.when(ok, quantile6(F.col("v"), 1 - a)).alias("upper"), n.cast("long").alias("finite"))
+    # type 6: between the order statistics around (n + 1) p
+    mid = lambda name, p: F.col(f"{name}_0") + (place(p) - F.floor(place(p))) * (F.col(f"{name}_1") - F.col(f"{name}_0"))
+    return g.select(*by, F.when(n >= minimum, F.col("sd")).alias("se"), F.when(ok, mid("lower", a)).alias("lower"), F.when(ok, mid("upper", 1 - a)).alias("upper"), n.cast("long").alias("finite"))
 
 
 def acceleration(jackknife: DataFrame, by: list[str], value: str) -> DataFrame:
