@@ -48,6 +48,22 @@ def recorded_audit(panel: DataFrame, object: str, call: str, facets: list[str],
     return one.crossJoin(F.broadcast(fixed))  # one row each
 
 
+def stored_order_audit(panel: DataFrame, object: str, facets: list[str], order: str, size: int) -> DataFrame:
+    """One row: conditions, blocks of ``size`` rows in the stored order of each condition, blocks whose items run on by one, and blocks that hold the same items in every condition.
+
+    ``order`` is the explicit column that stands for the stored order; a condition's rows are ranked in slices.
+    """
+    from .ranking import grouped_rank
+
+    placed = grouped_rank(panel.select(object, *facets, F.col(order).cast("double").alias("__order")), facets, "__order")
+    blocks = placed.withColumn("block", F.floor((F.col("rank") - 1) / size).cast("long"))
+    per = blocks.groupBy(*facets, "block").agg(F.count("*").alias("n"), F.sha2(F.to_json(F.array_sort(F.collect_set(object))), 256).alias("members"), (F.count_distinct(object) == F.count("*")).alias("distinct"), F.min("rank").alias("lo"), F.max("rank").alias("hi"))  # a block holds ``size`` rows
+    seen = per.groupBy("block").agg(F.count("*").alias("conditions"), F.count_distinct("members").alias("layouts"), F.min(F.col("n") == size).alias("full"), F.min("distinct").alias("distinct"))
+    conditions = panel.select(*facets).distinct().agg(F.count("*").alias("all_conditions"))
+    one = seen.agg(F.count("*").alias("blocks"), F.sum(F.col("full").cast("long")).alias("full_blocks"), F.sum((F.col("layouts") == 1).cast("long")).alias("same_items"), F.sum((~F.col("distinct")).cast("long")).alias("repeated_items"))
+    return one.crossJoin(F.broadcast(conditions)).select(F.col("all_conditions").alias("conditions"), "blocks", "full_blocks", "same_items", "repeated_items")  # one row each
+
+
 def eligibility(layout: DataFrame, panel: DataFrame, axes: list[str], size: int) -> DataFrame:
     """modelled and reason: whether equal fixed batches can enter the balanced likelihood."""
     cells = panel.groupBy(*axes).agg(F.count("*").alias("n"))

@@ -429,12 +429,44 @@ def fitted_table(spark, fit: Fit, grid: list[dict[str, int]], scores: dict[str,
     return t
 
 
-def fit_observed(rows: list[tuple], values: list[float], design: Design, estimator: str = "REML", control: Control = Control()) -> tuple[dict[str, float], float]:
-    """One outcome on the observed cells of an incomplete panel: dense kernels, at most max_rows_observed rows."""
+@dataclass
+class ObservedFit:
+    """Components of one outcome on observed cells, with the facts of their acceptance. Coefficients are projections to a balanced study."""
+
+    design: Design
+    estimator: str
+    components: dict[str, float]
+    mean: float
+    deviance: float
+    accepted: bool
+    rows: int
+    stages: list[tuple[str, str, str]]
+
+    def coefficient(self, counts: dict[str, int], kind: str = "Erho2", projection: str | None = None) -> float | None:
+        if projection != "balanced":
+            raise SpecError("an observed-row fit has no balanced study of its own: ask for projection='balanced'")
+        if not self.accepted:
+            raise SpecError("the fit was not accepted")
+        w, col = weights(self.design, counts), 1 if kind == "Erho2" else 2
+        u, e = sum(w[s][0] * v for s, v in self.components.items()), sum(w[s][col] * v for s, v in self.components.items())
+        return u / (u + e) if u + e > 0 else None
+
+
+def fit_observed_rows(rows: list[tuple], values: list[float], design: Design, estimator: str = "REML", control: Control = Control()) -> ObservedFit:
+    """One outcome on the observed cells of an incomplete panel: dense kernels, at most max_rows_observed rows.
+
+    Sources must be told apart by their kernels; a second start and the slope decide on acceptance.
+    """
     n = len(values)
     if n > control.max_rows_observed:
         raise SpecError("too many rows for the observed-row engine")
+    if estimator not in ("REML", "ML"):
+        raise SpecError("estimator is REML or ML")
     y = np.asarray(values, float)
+    if not np.isfinite(y).all() or n < 3 or y.max() == y.min():
+        raise SpecError("the outcome must be finite and vary")
+    if len(set(rows)) != n:
+        raise SpecError("a cell is observed twice")
     at = {v: i for i, v in enumerate(design.variables)}
     kernels = {}
     for s, members in design.terms.items():
@@ -442,7 +474,17 @@ def fit_observed(rows: list[tuple], values: list[float], design: Design, estimat
         g = np.array([codes.setdefault(tuple(r[at[m]] for m in members), len(codes)) for r in rows])
         kernels[s] = (g[:, None] == g[None, :]).astype(float)
     kernels[RESIDUAL] = np.eye(n)
+    # kernels centred on the mean must be independent
+    centre = np.eye(n) - 1 / n
+    flat = np.stack([(centre @ k @ centre).ravel() for k in kernels.values()])
+    scale = np.sqrt((flat**2).sum(1))
+    gram = flat @ flat.T / np.outer(np.maximum(scale, 1e-300), np.maximum(scale, 1e-300))
+    rank = int((np.linalg.eigvalsh(gram) > 1e-9).sum())
+    if rank < len(kernels):
+        raise SpecError(f"the observed cells tell {rank} of {len(kernels)} sources apart")
     names, one, reml = list(kernels), np.ones(n), estimator == "REML"
+    unit = float(y.std(ddof=1))
+    z = (y - y.mean()) / unit
 
     def f(x):
         v = sum(x[k] ** 2 * kernels[s] for k, s in enumerate(names))
@@ -453,11 +495,23 @@ def fit_observed(rows: list[tuple], values: list[float], design: Design, estimat
         c = inv @ one
         q = one @ c
         p = inv - np.outer(c, c) / q
-        py = p @ y
+        py = p @ z
         base = p if reml else inv
-        value = (n - reml) * log(2 * pi) + ld + (log(q) if reml else 0.0) + y @ py
+        value = (n - reml) * log(2 * pi) + ld + (log(q) if reml else 0.0) + z @ py
         return value, np.array([2 * x[k] * ((base * kernels[s]).sum() - py @ kernels[s] @ py) for k, s in enumerate(names)])
 
-    start = np.full(len(names), np.sqrt(y.var(ddof=1) / len(names)))
-    x, value, _, _ = _bfgs(f, start, control.tolerance, control.max_iterations)
-    return {s: float(x[k] ** 2) for k, s in enumerate(names)}, float(value)
+    runs = [_bfgs(f, np.full(len(names), sd / np.sqrt(len(names))), control.tolerance, control.max_iterations) for sd in (1.0, 0.5)]
+    x, value, g, _ = min(runs, key=lambda r: r[1])
+    stationary = float(np.abs(g).max() / (1 + abs(value)))
+    agree = abs(runs[0][1] - runs[1][1]) <= 1e-5 * (1 + abs(value))
+    v = sum(x[k] ** 2 * kernels[s] for k, s in enumerate(names))
+    c = np.linalg.solve(v, one)
+    shift = 2 * (n - reml) * log(unit)
+    stages = [("finite_objective", "passed" if np.isfinite(value) else "failed", ""), ("stationarity", "passed" if stationary < STATIONARY else "failed", f"{stationary:.2e}"), ("second_start", "passed" if agree else "inconclusive", ""), ("kernel_identification", "passed", f"rank {rank}")]
+    return ObservedFit(design, estimator, {s: float(x[k] ** 2 * unit**2) for k, s in enumerate(names)}, float(y.mean() + unit * (c @ z) / (c @ one)), float(value + shift), bool(np.isfinite(value) and stationary < STATIONARY), n, stages)
+
+
+def fit_observed(rows: list[tuple], values: list[float], design: Design, estimator: str = "REML", control: Control = Control()) -> tuple[dict[str, float], float]:
+    """Components and deviance of ``fit_observed_rows``."""
+    found = fit_observed_rows(rows, values, design, estimator, control)
+    return found.components, found.deviance

@@ -9,7 +9,7 @@ from typing import Any
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from ..spec import Control, Design, SpecError, model_formula
+from ..spec import CALL, Control, Design, SpecError, model_formula
 from .fit import Fit
 from .laplace import LaplaceFit
 
@@ -94,6 +94,27 @@ def diagnostics(spark: SparkSession, fit: Fit | LaplaceFit) -> DataFrame:
     return spark.createDataFrame([(n, *known.get(n, ("not_assessed", "of another engine"))) for n in STAGES], "stage string, status string, reason string")
 
 
+def ledger(spark: SparkSession, fit: LaplaceFit) -> DataFrame:
+    """kind, detail, times: points that a discrete fit refused, with the evaluations it made."""
+    counts: dict[tuple[str, str], int] = {("evaluations", ""): fit.evaluations}
+    for f in fit.problem.failures:
+        counts[f] = counts.get(f, 0) + 1
+    return spark.createDataFrame([(*k, n) for k, n in counts.items()], "kind string, detail string, times long")
+
+
+def context(fit: Fit | LaplaceFit, scale: str | None = None) -> str:
+    """The scale on which coefficients may be taken: observed for a Gaussian fit, latent for a discrete one; a fit must be usable and its call no source."""
+    ok, why = usable(require_fit(fit))
+    if not ok:
+        raise SpecError(f"the fit can't be used: {why}")
+    if CALL in fit.components:
+        raise SpecError("ordinary coefficients are not defined when the call is a source; use the batch operators")
+    own = "observed" if is_gaussian(fit) else "latent"
+    if scale not in (None, own):
+        raise SpecError(f"this fit's coefficients are on the {own} scale")
+    return own
+
+
 def attempts(spark: SparkSession, fit: Fit) -> DataFrame:
     """The retry log: attempt, objective, stationarity, accepted."""
     return spark.createDataFrame(fit.attempts, "attempt long, objective double, stationarity double, accepted boolean")
@@ -118,13 +139,8 @@ def describe(fit: Fit | LaplaceFit, digits: int = 4, lines: int = 20) -> str:
     return "\n".join(head + body[:lines] + ([f"  ... {len(body) - lines} more sources"] if len(body) > lines else []))
 
 
-RETAINED = frozenset({"data", "model", "retry_log"})
-
-
 def retained(fit: Fit, control: Control) -> Fit:
     """The fit without what the control does not keep: ``model`` (the strata) and ``retry_log``. Rows are never in a fit."""
-    if set(control.retain) - RETAINED:
-        raise SpecError(f"retain takes {sorted(RETAINED)}")
     out = replace(fit)
     if "model" not in control.retain:
         out = replace(out, prepared=replace(fit.prepared, sscp={0: fit.prepared.sscp[0] * 0, **{k: v * np.nan for k, v in fit.prepared.sscp.items() if k}}))

@@ -341,4 +341,15 @@ class Control:
     max_parameters: int = 80
     tolerance: float = 1e-9
     max_iterations: int = 500
-    retain: frozenset[str] = frozenset({"data"})
+    retain: frozenset[str] = frozenset({"model", "retry_log"})
+    specimen_dir: str | None = None  # where a failed linear-algebra operation leaves its inputs
+
+    def __post_init__(self):
+        for name in ("max_axes", "max_rows_observed", "max_rows_discrete", "max_random_dim", "max_dense_dim", "max_bytes", "max_parameters", "max_iterations"):
+            value = getattr(self, name)
+            if not isinstance(value, int) or isinstance(value, bool) or value < 1:
+                raise SpecError(f"{name} must be a positive integer")
+        if not 0 < self.tolerance < 1:
+            raise SpecError("tolerance must lie between 0 and 1")
+        if set(self.retain) - {"data", "model", "retry_log"}:
+            raise SpecError("retain takes data, model and retry_log")
