@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import SpecError
+from .ranking import bounded
 
 
 def check_currency(currency: str, cost_date: str) -> None:
@@ -44,9 +45,9 @@ def constraints(results: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 def screen(results: DataFrame, target: float, value: Column) -> DataFrame:
     """screening_value, meets_target, eligible, minimum_cost, cost_rank."""
-    every = Window.partitionBy(F.lit(1))  # at most max_candidates rows
+    every = Window.partitionBy(F.lit(1))  # a grid: bounded() stops at more rows
     out = results.withColumns({"screening_value": value, "target": F.lit(target)}).withColumn("meets_target", F.col("screening_value") >= F.col("target")).withColumn("eligible", F.col("feasible") & F.col("meets_target"))
-    least = F.min(F.when(F.col("eligible"), F.col("total_cost"))).over(every)
+    least = bounded(F.min(F.when(F.col("eligible"), F.col("total_cost"))).over(every))
     rank = F.rank().over(Window.partitionBy(F.coalesce(F.col("feasible"), F.lit(False))).orderBy("total_cost"))
     return out.withColumns({"minimum_cost": F.when(F.col("eligible").isNotNull(), F.col("eligible") & (F.col("total_cost") == least)), "cost_rank": F.when(F.col("feasible"), rank)})
 
@@ -55,7 +56,7 @@ def pareto(results: DataFrame, cost: str = "total_cost", value: str = "screening
     """pareto: among feasible rows with a value, best at its cost and better than every cheaper one; ties stay; infeasible false, unknown null."""
     usable = F.col("feasible") & F.col(value).isNotNull()
     best = results.where(usable).groupBy(F.col(cost).alias("__cost")).agg(F.max(value).alias("__here"))
-    cheaper = best.withColumn("__cheaper", F.max("__here").over(Window.partitionBy(F.lit(1)).orderBy("__cost").rowsBetween(Window.unboundedPreceding, -1)))
+    cheaper = best.withColumn("__cheaper", bounded(F.max("__here").over(Window.partitionBy(F.lit(1)).orderBy("__cost").rowsBetween(Window.unboundedPreceding, -1))))
     joined = results.join(cheaper, F.col(cost) == F.col("__cost"), "left")
     front = (F.col(value) == F.col("__here")) & (F.col("__cheaper").isNull() | (F.col(value) > F.col("__cheaper")))
     flag = F.when(~F.col("feasible"), F.lit(False)).when(usable, front)

@@ -55,3 +55,12 @@ def grouped_rank(df: DataFrame, by: list[str], order: str, slices: int = SLICES)
     places = counts.select(*by, "__slice", F.coalesce(F.sum("__n").over(group.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__n").over(group).alias("size"))
     inside = F.row_number().over(Window.partitionBy(*by, "__slice").orderBy(order))
     return sliced.withColumn("__inside", inside).join(places, [*by, "__slice"]).withColumn("rank", F.col("__inside") + F.col("__before")).drop("__slice", "__inside", "__before")
+
+
+MAX_GRID = 10_000
+
+
+def bounded(value: Column, most: int = MAX_GRID) -> Column:
+    """A numeric value over a whole result table, which must have at most so many rows: one more stops the job."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
+    return F.when(n <= most, value).otherwise(F.raise_error(F.lit(f"a grid has at most {most} rows")).cast("double"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..spec import CALL, Design, SpecError
+from .ranking import bounded
 
 EXACT = float(2**53)
 
@@ -131,9 +132,9 @@ def dstudy_target(table: DataFrame, target: float, coefficient: str = "Erho2") -
     """meets_target (three-valued) and fewest_measurements: all ties of the least exact count among those that meet it."""
     if coefficient not in ("Erho2", "Phi") or not 0 < target < 1:
         raise SpecError("coefficient must be Erho2 or Phi, target between 0 and 1")
-    every = Window.partitionBy(F.lit(1))  # the grid is bounded by max_candidates
+    every = Window.partitionBy(F.lit(1))  # a grid: bounded() stops at more rows
     out = table.withColumns({"coefficient": F.lit(coefficient), "target": F.lit(target), "estimate": F.col(coefficient)}).withColumn("meets_target", F.col("estimate") >= F.col("target"))
     exact = F.col("meets_target") & F.col("measurement_count_exact")
-    least = F.min(F.when(exact, F.col("measurements_per_object"))).over(every)
+    least = bounded(F.min(F.when(exact, F.col("measurements_per_object"))).over(every))
     fewest = F.when(F.col("meets_target").isNull(), F.lit(None).cast("boolean")).when(~F.col("meets_target"), F.lit(False)).when(least.isNull(), F.lit(None).cast("boolean")).when(F.col("measurement_count_exact"), F.col("measurements_per_object") == least).otherwise(F.lit(False))
     return out.withColumn("fewest_measurements", fewest)

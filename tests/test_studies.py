@@ -331,3 +331,10 @@ def test_context_ledger_and_specimens(spark, panel, tmp_path):
     for bad in ({"max_axes": 0}, {"tolerance": 2.0}, {"retain": frozenset({"rows"})}):
         with pytest.raises(S.SpecError):
             S.Control(**bad)
+
+
+def test_large_grids_stop(spark):
+    t = spark.range(10_001).select(F.col("id").alias("design_id"), F.lit(0.5).alias("Erho2"), F.col("id").cast("double").alias("measurements_per_object"), F.lit(True).alias("measurement_count_exact"))
+    assert reliability.dstudy_target(t.limit(10_000), 0.4).where("fewest_measurements").count() == 1
+    with pytest.raises(Exception, match="at most 10000 rows"):
+        reliability.dstudy_target(t, 0.4).collect()
