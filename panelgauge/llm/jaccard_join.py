@@ -9,12 +9,11 @@ candidate pair must share a prefix token under every one of them.
 1. A fixed-size sketch counts shingles over all documents (bounded, broadcast)
    and gives each token a rarity level; levels only shape the orders, never the result.
 2. Prefix tokens of the first order, with tokens of one document dropped. Documents
-   that share a token are compared by the histograms of their sets: the L1 distance
+   with equal sets are one (the least row stands for them). Documents that share a token are compared by the histograms of their sets: the L1 distance
    of two histograms never exceeds the symmetric difference, so a pair whose distance
    is too large for a link is none. A run of documents leaves a spanning forest of
    what is left, never its pairs; the components hold every linked pair inside one.
-3. Within a component, documents with equal sets are collapsed to the least one.
-   Components above ``block`` sets are split into blocks, one task group for each
+3. Components above ``block`` sets are split into blocks, one task group for each
    pair of blocks. A group intersects the candidates of all orders through inverted
    lists, verifies them exactly and returns a spanning forest of its links.
 4. Connected components of the forest edges give the classes.
@@ -38,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, gram_hashes, mix, release_caches, word_hashes, write_cut
+from .common import connected_components, gram_hashes, mix, release, release_caches, word_hashes, write_cut
 
 SKETCH_LOG2 = 20
 SEGMENTS = 64
@@ -333,15 +332,17 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     levels = rarity_levels(base.select("text"), k)
     found = base.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text_hash", "text").mapInArrow(_documents(levels, k, percent), _doc_ddl)
     found = write_cut(found, "prefix")
-    reps = found.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("row_id").alias("rep"))
+    reps = write_cut(found.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("row_id").alias("rep")), "reps")
     rows = write_cut(found.drop("tokens", "hist").join(reps, ["fp1", "fp2", "n"], "left").select("row_id", "doc_id", "text_hash", "n", "rep"), "rows")
     firsts = rows.where("row_id = rep")
     each = Window.partitionBy("token")
     shared = found.select(F.explode("tokens").alias("token"), "row_id").withColumn("alone", F.min("row_id").over(each) == F.max("row_id").over(each)).where("NOT alone").select("token", "row_id")
-    compared = shared.join(found.select("row_id", "n", "hist"), "row_id").select("token", "row_id", "n", "hist")
+    # of documents with equal sets only the first is compared; its histogram travels once to the join by row
+    one_each = found.select("row_id", "n", "hist").join(reps.select(F.col("rep").alias("row_id")), "row_id", "left_semi")
+    compared = shared.join(one_each, "row_id").select("token", "row_id", "n", "hist")
     forests = compared.repartition("token").sortWithinPartitions("token", "row_id").mapInArrow(_forests(percent), "u long, v long")
-    rough = write_cut(connected_components(forests, "rough-cc").select(F.col("node").alias("rep"), F.col("component").alias("class")), "rough")
-    rough = rough.join(firsts.select("rep", "doc_id", "text_hash", "n"), "rep")
+    edges = write_cut(connected_components(forests, "rough-cc").select(F.col("node").alias("rep"), F.col("component").alias("class")), "rough")
+    rough = edges.join(firsts.select("rep", "doc_id", "text_hash", "n"), "rep")
     # a block holds about so many sets, and about 600 shingles for each of them
     size = F.greatest(F.count("*") / block, F.sum("n") / (600 * block))
     crowd = rough.groupBy("class").agg(F.count("*").alias("m"), F.ceil(size).cast("int").alias("nb")).where("m > 1").select("class", "nb")
@@ -352,8 +353,10 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     groups = max(8, rough.count() // 256)
     dealt = dealt.withColumn("g", F.pmod(F.xxhash64("class", "i", "j"), F.lit(groups)))
     links = write_cut(dealt.groupBy("g").applyInArrow(_verify(k, percent, levels), "u long, v long"), "links")
+    release(found, edges)
     parts = connected_components(links, "jaccard-cc").select(F.col("node").alias("rep"), "component")
     member = write_cut(rows.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "members")
+    release(links, rows, reps)
     least = member.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = member.join(least, "component", "left")
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
