@@ -180,7 +180,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     known = classes.select("class_id", "unit", "weight").join(links, "class_id", "left").join(parts.withColumnRenamed("node", "class_id"), "class_id", "left")
     known = known.select("unit", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component"))
     member = write_cut(rows.select("vec_id", "unit").join(known, "unit").select("vec_id", "n_links", "component"), "members")
-    least = member.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    least = write_cut(member.groupBy("component").agg(F.min("vec_id").alias("component_id")), "least")  # plain exchanges on both sides below
     linked = member.join(least, "component").select("vec_id", "n_links", "component_id")
     # unusable rows have no unit vector: each links with nothing
     usable = F.coalesce(F.size("vector"), F.lit(0)) > 0

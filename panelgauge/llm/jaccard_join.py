@@ -357,7 +357,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     parts = connected_components(links, "jaccard-cc").select(F.col("node").alias("rep"), "component")
     member = write_cut(rows.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "members")
     release(links, rows, reps)
-    least = member.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join below has plain exchanges on both sides and a hot component can be split
+    least = write_cut(member.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     out = member.join(least, "component", "left")
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
