@@ -36,7 +36,7 @@ def marginals(panel: DataFrame, outcomes: list[str], axes: list[str]) -> DataFra
 
 def _pick(ms, mask, row, col):
     """The marginals of one subset and pair."""
-    return F.filter(ms, lambda x: (x["mask"] == mask) & (x["row"] == row) & (x["col"] == col))[0]
+    return F.get(F.filter(ms, lambda x: (x["mask"] == mask) & (x["row"] == row) & (x["col"] == col)), F.lit(0))
 
 
 def strata(panel: DataFrame, outcomes: list[str], axes: list[str]) -> DataFrame:

@@ -338,3 +338,11 @@ def test_large_grids_stop(spark):
     assert reliability.dstudy_target(t.limit(10_000), 0.4).where("fewest_measurements").count() == 1
     with pytest.raises(Exception, match="at most 10000 rows"):
         reliability.dstudy_target(t, 0.4).collect()
+
+
+def test_empty_panels_have_no_strata(panel):
+    from panelgauge.operators import strata
+
+    none = panel.where("item < 0")
+    assert strata.strata(none, ["y"], ["item", "rater"]).count() == 0 and strata.moment_components(none, ["y"], ["item", "rater"]).count() == 0
+    assert audit.missing_cells(none, ["item", "rater"]).count() == 0
