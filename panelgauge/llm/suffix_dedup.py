@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -180,7 +181,7 @@ def _send_segments(length: int, bits: int):
     """Distinct segments by bucket; with bucket -1 the places of every class for the block itself."""
 
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        out = []
+        out, packer = [], zstandard.ZstdCompressor(level=3)  # smaller files and shuffles than Spark's own block compression gives
         shared = np.sort(np.concatenate([np.zeros(0, np.uint64), *[(np.uint64(b.as_py()) << np.uint64(32)) | np.frombuffer(k.as_py(), "<u4").astype(np.uint64) for b, k in zip(answers.column("bucket"), answers.column("keys"), strict=True)]]))
         for i in range(blocks.num_rows):
             g, ids, ends, data = (blocks.column(c)[i].as_py() for c in ("g", "ids", "ends", "data"))
@@ -216,7 +217,7 @@ def _send_segments(length: int, bits: int):
             cuts = np.flatnonzero(np.diff(bucket[f][by])) + 1
             for some in np.split(by, cuts):
                 j = f[some]
-                out.append((int(bucket[j[0]]), g, classes[j].tobytes(), block.ids[doc[j]].tobytes(), n[j].astype(np.uint8).tobytes(), b"".join(texts[x] for x in some)))
+                out.append((int(bucket[j[0]]), g, classes[j].tobytes(), block.ids[doc[j]].tobytes(), n[j].astype(np.uint8).tobytes(), packer.compress(b"".join(texts[x] for x in some))))
         if not out:
             return _segments.empty_table()
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _segments, strict=True)], schema=_segments)
@@ -284,12 +285,14 @@ _runs_ddl = "g long, classes binary, low binary, high binary"
 
 def _sort_bucket(length: int):
     def run(group: pa.Table) -> pa.Table:
+        unpacker = zstandard.ZstdDecompressor()
         known: dict[bytes, int] = {}
         least: list[int] = []
         rows, kind = [], []
         for i in range(group.num_rows):
             g, classes, ids, counts, data = (group.column(c)[i].as_py() for c in ("g", "classes", "ids", "counts", "data"))
             classes, ids, counts = np.frombuffer(classes, np.int32), np.frombuffer(ids, np.int64), np.frombuffer(counts, np.uint8)
+            data = unpacker.decompress(data)
             ends = np.cumsum(counts.astype(np.int64) + length - 1).tolist()
             mine = []
             for s, e, d in zip([0, *ends[:-1]], ends, ids.tolist(), strict=True):
