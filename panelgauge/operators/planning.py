@@ -53,14 +53,19 @@ def screen(results: DataFrame, target: float, value: Column) -> DataFrame:
 
 
 def pareto(results: DataFrame, cost: str = "total_cost", value: str = "screening_value") -> DataFrame:
-    """pareto: among feasible rows with a value, best at its cost and better than every cheaper one; ties stay; infeasible false, unknown null."""
-    usable = F.col("feasible") & F.col(value).isNotNull()
-    best = results.where(usable).groupBy(F.col(cost).alias("__cost")).agg(F.max(value).alias("__here"))
-    cheaper = best.withColumn("__cheaper", bounded(F.max("__here").over(Window.partitionBy(F.lit(1)).orderBy("__cost").rowsBetween(Window.unboundedPreceding, -1))))
-    joined = results.join(cheaper, F.col(cost) == F.col("__cost"), "left")
-    front = (F.col(value) == F.col("__here")) & (F.col("__cheaper").isNull() | (F.col(value) > F.col("__cheaper")))
+    """pareto: among feasible rows with a cost and a value, best at its cost and better than every cheaper one; ties stay; infeasible false, unknown null.
+
+    Windows over one evaluation of ``results``: sums of doubles that are evaluated twice may differ in the last place.
+    """
+    usable = F.col("feasible") & F.col(value).isNotNull() & F.col(cost).isNotNull()
+    before = F.max("__value").over(Window.partitionBy(F.lit(1)).orderBy(cost).rowsBetween(Window.unboundedPreceding, -1))  # a grid: bounded() stops at more rows
+    same = Window.partitionBy(cost)
+    marked = results.withColumn("__value", F.when(usable, F.col(value))).withColumn("__before", bounded(before))
+    # the first row of a cost has only cheaper ones before it; null, if there is none, is the least
+    found = marked.withColumns({"__here": F.max("__value").over(same), "__cheaper": F.min(F.struct("__before")).over(same)["__before"]})
+    front = (F.col("__value") == F.col("__here")) & (F.col("__cheaper").isNull() | (F.col("__value") > F.col("__cheaper")))
     flag = F.when(~F.col("feasible"), F.lit(False)).when(usable, front)
-    return joined.withColumn("pareto", flag).drop("__cost", "__here", "__cheaper")
+    return found.withColumn("pareto", flag).drop("__value", "__before", "__here", "__cheaper")
 
 
 def against_baseline(results: DataFrame, baseline: int) -> DataFrame:
