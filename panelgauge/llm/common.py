@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,9 +95,30 @@ atexit.register(drop_scratch)
 WORKER_CACHES: list[dict] = []
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: an idle worker otherwise holds it beside its executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def release_caches() -> None:
-    for cache in WORKER_CACHES:
+    full = [cache for cache in WORKER_CACHES if cache]
+    for cache in full:
         cache.clear()
+    if full:
+        give_back()
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function, after which its worker keeps no cache and no freed memory."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_caches()
+        give_back()
+
+    return whole
 
 
 # ---------------------------------------------------------------- hashing

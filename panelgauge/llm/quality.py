@@ -7,9 +7,10 @@ is the sum of log(target / raw) over its n-grams divided by their number. Every
 document is kept or rejected by one fixed threshold: the cut with the least
 balanced error on the labelled documents.
 
-The trusted sample is bounded by ``max_labelled`` labelled rows (the rows with
-the least seeded hash of their id); all counts of the raw corpus, all scores and
-the threshold test cover every document.
+Every label counts: the raw multinomial covers every document, the target every
+document labelled 1, the threshold every labelled one. Labels are joined by
+shuffles; a bitmap of fixed size, broadcast, first leaves out documents that
+surely have none, so that few other texts travel (never the result depends on it).
 
 Defined results
   null or empty text    no words, base_failed, not kept
@@ -32,10 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_BYTES, gram_hashes, release_caches, word_hashes, write_cut
+from .common import SPACE_BYTES, gram_hashes, release_caches, tidy, word_hashes, write_cut
 
 BINS_LOG2 = 16
 ORDERS = (2, 3, 4)
+#: Bits of the bitmap of labelled ids (2 MB).
+CELLS_LOG2 = 24
 #: Characters that count as symbols (fixed values).
 SYMBOLS = b"#*$%&|<>"
 _C = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
@@ -101,25 +104,20 @@ class QualityModel:
 
 def _count_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release_caches()
-    size = 1 << BINS_LOG2
-    raw_counts, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    counts = np.zeros(1 << BINS_LOG2, np.int64)
+    held, n = [], 0
     for b in batches:
-        held: list[list[np.ndarray]] = [[], []]
-        held_n = [0, 0]
-        for text, quality in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for text in b.column(0).to_pylist():
             bins = gram_bins((text or "").encode())
-            k = 1 if quality == 1 else 0
-            held[k].append(bins)
-            held_n[k] += len(bins)
-            if held_n[k] > 2_000_000:
-                (target if k else raw_counts)[:] += np.bincount(np.concatenate(held[k]), minlength=size)
-                held[k], held_n[k] = [], 0
-        for k, out in ((0, raw_counts), (1, target)):
-            if held[k]:
-                out += np.bincount(np.concatenate(held[k]), minlength=size)
-    raw_counts += target
-    at = np.flatnonzero(raw_counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw_counts[at]), pa.array(target[at])], names=["bin", "raw", "target"])
+            held.append(bins)
+            n += len(bins)
+            if n > 2_000_000:
+                counts += np.bincount(np.concatenate(held), minlength=len(counts))
+                held, n = [], 0
+    if held:
+        counts += np.bincount(np.concatenate(held), minlength=len(counts))
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["bin", "n"])
 
 
 RULES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -143,19 +141,36 @@ def _score(ratios: np.ndarray, threshold: float):
     return run
 
 
-def labelled_sample(labels: DataFrame, max_labelled: int) -> DataFrame:
-    """At most so many labelled ids, by a seeded hash: a bounded table that may be broadcast."""
-    one = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min("quality").cast("int").alias("quality"))
-    return one.orderBy(F.xxhash64(F.lit(5), "label_id"), "label_id").limit(max_labelled)
+def labelled(labels: DataFrame) -> DataFrame:
+    """label_id and quality: one row per labelled id."""
+    return labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min("quality").cast("int").alias("quality"))
 
 
-def fit_ratios(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text", smoothing: float = 2.0) -> np.ndarray:
-    """log(target / raw) per bin, from counts over all documents."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("label_id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(sample), "label_id", "left").select("text", "quality")
-    got = rows.mapInArrow(_count_bins, "bin int, raw long, target long").groupBy("bin").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # at most 2**BINS_LOG2 rows
-    raw, target = np.zeros(1 << BINS_LOG2), np.zeros(1 << BINS_LOG2)
-    for r in got:
-        raw[r["bin"]], target[r["bin"]] = r["raw"], r["target"]
+def may_be_labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows (label_id, text) whose id may be among the known: all that are, and a few others."""
+    cell = F.pmod(F.xxhash64("label_id"), F.lit(1 << CELLS_LOG2)) + 1
+    bucket, at = F.bitmap_bucket_number(cell), F.bitmap_bit_position(cell)
+    bits = known.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(at).alias("bits"))  # at most 2**CELLS_LOG2 bits in all
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return rows.where("label_id IS NOT NULL").withColumn("bucket", bucket).join(F.broadcast(bits), "bucket").where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
+def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("label_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def _bin_counts(texts: DataFrame) -> np.ndarray:
+    out = np.zeros(1 << BINS_LOG2)
+    for r in texts.mapInArrow(tidy(_count_bins), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # at most 2**BINS_LOG2 rows
+        out[r["bin"]] = r["n"]
+    return out
+
+
+def fit_ratios(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", smoothing: float = 2.0) -> np.ndarray:
+    """log(target / raw) per bin, from counts over all documents and over all that are known as good."""
+    rows = _identified(docs, id_col, text_col)
+    good = known.where("quality = 1").select("label_id")
+    raw, target = _bin_counts(rows.select("text")), _bin_counts(may_be_labelled(rows, good).join(good, "label_id").select("text"))
     if not target.sum():
         return np.zeros(1 << BINS_LOG2, np.float32)
     prior = (raw + smoothing / 10) / (raw.sum() + smoothing / 10 * len(raw))
@@ -185,27 +200,28 @@ def best_threshold(bins: list[tuple[int, int, int]], step: float) -> float:
 _found_ddl = "struct<n_words: long, word_chars: long, n_symbols: long, n_dup_lines: long, n_repeat_words: long, score: double, base_failed: boolean, kept: boolean>"
 
 
-def score_documents(docs: DataFrame, ratios: np.ndarray, threshold: float = -np.inf, text_col: str = "text") -> DataFrame:
-    """row (a struct of the columns of docs) and quality (the base counts, score, base_failed and kept) of every row."""
-    base = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row"))
+def score_documents(docs: DataFrame, ratios: np.ndarray, threshold: float = -np.inf, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """row (a struct of the columns of docs, or of those named) and quality (the base counts, score, base_failed and kept) of every row."""
+    base = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`").alias(c) for c in columns or docs.columns]).alias("row"))
     schema = T.StructType([base.schema["row"], T.StructField("quality", T._parse_datatype_string(_found_ddl))])
-    return base.mapInArrow(_score(ratios, threshold), schema)
+    return base.mapInArrow(tidy(_score(ratios, threshold)), schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000, step: float = 1e-4) -> QualityModel:
-    """Ratios from all documents; the threshold from the labelled ones, as scored by those ratios."""
-    sample = write_cut(labelled_sample(labels, max_labelled), "labels")
-    ratios = fit_ratios(docs, sample, id_col, text_col)
-    known = docs.select(F.col(f"`{id_col}`").cast("long").alias("label_id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(sample), "label_id")
-    judged = score_documents(known, ratios).where("NOT quality.base_failed")
-    label = F.col("row.quality")
-    hist = judged.groupBy(F.floor(F.col("quality.score") / step).cast("long").alias("at")).agg(F.sum((label == 0).cast("long")).alias("bad"), F.sum((label == 1).cast("long")).alias("good"))
-    return QualityModel(ratios, best_threshold([(r["at"], r["bad"], r["good"]) for r in hist.collect()], step))  # at most max_labelled rows
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", step: float = 1e-4) -> QualityModel:
+    """Ratios from all documents; the threshold from all labelled ones, as scored by those ratios."""
+    known = write_cut(labelled(labels), "labels")
+    ratios = fit_ratios(docs, known, id_col, text_col)
+    # only ids and scores travel to the labels
+    scores = score_documents(may_be_labelled(_identified(docs, id_col, text_col), known), ratios, columns=["label_id"])
+    judged = scores.where("NOT quality.base_failed").select("row.label_id", "quality.score").join(known, "label_id")
+    label = F.col("quality")
+    hist = judged.groupBy(F.floor(F.col("score") / step).cast("long").alias("at")).agg(F.sum((label == 0).cast("long")).alias("bad"), F.sum((label == 1).cast("long")).alias("good"))
+    return QualityModel(ratios, best_threshold([(r["at"], r["bad"], r["good"]) for r in hist.collect()], step))  # one row per step of the scores' range
 
 
-def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000) -> DataFrame:
+def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that the rules keep, with the columns they came with."""
-    model = fit(docs, labels, id_col, text_col, max_labelled)
+    model = fit(docs, labels, id_col, text_col)
     return score_documents(docs, model.ratios, model.threshold, text_col).where("quality.kept").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 

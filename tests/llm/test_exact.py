@@ -468,6 +468,21 @@ def test_repeat_words_brute():
         assert quality.repeat_words(" ".join(w).encode()) == len(hit)
 
 
+def test_quality_uses_every_label(spark):
+    """More labels than the 20,000 that once were the most: the counts are those of all."""
+    n = 24_000
+    docs = spark.createDataFrame([(i, "abcd"[i % 4] * 2 + "xyz"[i % 3]) for i in range(n)] + [(None, "qq"), (n + 5, "rr"), (7, "again")], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(n)] + [(7, 0), (n + 9, 1), (None, 1)], "doc_id long, quality int")
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    good = {i for i in range(n) if i % 5} - {7}
+    count = lambda keep: np.bincount(np.concatenate([quality.gram_bins(t.encode()) for i, t in texts if keep(i)]), minlength=1 << quality.BINS_LOG2)
+    raw, target = count(lambda i: True), count(lambda i: i in good)
+    prior = (raw + 0.2) / (raw.sum() + 0.2 * len(raw))
+    share = (target + 0.2 * len(raw) * prior) / (target.sum() + 0.2 * len(raw))
+    got = quality.fit(docs, labels).ratios
+    assert np.allclose(got, np.log(share / prior), atol=1e-6)
+
+
 def test_quality_held_out(spark):
     rng = random.Random(2)
     good = lambda: " ".join(rng.choice(WORDS) for _ in range(60))
