@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, gram_hashes, mix, release, release_caches, word_hashes, write_cut
+from .common import connected_components, gram_hashes, mix, release, release_caches, tidy, word_hashes, write_cut
 
 SKETCH_LOG2 = 20
 SEGMENTS = 64
@@ -104,7 +104,7 @@ def _sum_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def rarity_levels(texts: DataFrame, k: int) -> np.ndarray:
     """A level (0 to 31) for each cell of the sketch: doublings above twice the mean load. The table has a fixed size."""
     ddl = "segment int, counts binary"
-    parts = texts.mapInArrow(_sketch(k), ddl)
+    parts = texts.mapInArrow(tidy(_sketch(k)), ddl)
     # two steps, so that no task reads the sketches of all others: about the square root of their number each
     fan = max(1, round(parts.rdd.getNumPartitions() ** 0.5))
     salted = parts.withColumn("salt", F.spark_partition_id() % fan)
@@ -330,7 +330,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         raise ValueError("percent must be between 50 and 100")
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     levels = rarity_levels(base.select("text"), k)
-    found = base.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text_hash", "text").mapInArrow(_documents(levels, k, percent), _doc_ddl)
+    found = base.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text_hash", "text").mapInArrow(tidy(_documents(levels, k, percent)), _doc_ddl)
     found = write_cut(found, "prefix")
     reps = write_cut(found.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("row_id").alias("rep")), "reps")
     rows = write_cut(found.drop("tokens", "hist").join(reps, ["fp1", "fp2", "n"], "left").select("row_id", "doc_id", "text_hash", "n", "rep"), "rows")
@@ -340,7 +340,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # of documents with equal sets only the first is compared; its histogram travels once to the join by row
     one_each = found.select("row_id", "n", "hist").join(reps.select(F.col("rep").alias("row_id")), "row_id", "left_semi")
     compared = shared.join(one_each, "row_id").select("token", "row_id", "n", "hist")
-    forests = compared.repartition("token").sortWithinPartitions("token", "row_id").mapInArrow(_forests(percent), "u long, v long")
+    forests = compared.repartition("token").sortWithinPartitions("token", "row_id").mapInArrow(tidy(_forests(percent)), "u long, v long")
     edges = write_cut(connected_components(forests, "rough-cc").select(F.col("node").alias("rep"), F.col("component").alias("class")), "rough")
     rough = edges.join(firsts.select("rep", "doc_id", "text_hash", "n"), "rep")
     # a block holds about so many sets, and about 600 shingles for each of them

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import write_cut
+from .common import tidy, write_cut
 from .tokens import CACHE_PARTS, default_vocabulary, encoder, with_end
 
 _out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("level", pa.int32()), ("ids", pa.binary())])
@@ -139,14 +139,16 @@ def _merge(size: int, open_windows: int, level: int, last: bool):
     return run
 
 
-def pack(docs: DataFrame, size: int = 2048, open_windows: int = 16, vocabulary: str | None = None, end_id: int = 1, fan_in: int = 64, cache_parts: int = CACHE_PARTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, size: int = 2048, open_windows: int = 16, vocabulary: str | None = None, end_id: int = 1, fan_in: int = 64, cache_parts: int = CACHE_PARTS, keep_cache: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of every document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A task carries at most ``open_windows`` windows; a merge task reads at most
-    ``fan_in`` times as many. ``cache_parts``: encoded words that a worker keeps (memory only).
+    ``fan_in`` times as many. ``cache_parts``: encoded words that a worker keeps, until its task ends
+    if not ``keep_cache`` (memory only).
     """
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    stage = write_cut(base.mapInArrow(_pack(vocabulary or default_vocabulary(), end_id, size, open_windows, cache_parts), _ddl).withColumn("part", F.spark_partition_id()), "packed")
+    packed = _pack(vocabulary or default_vocabulary(), end_id, size, open_windows, cache_parts)
+    stage = write_cut(base.mapInArrow(packed if keep_cache else tidy(packed), _ddl).withColumn("part", F.spark_partition_id()), "packed")
     done = [stage.where("ids IS NULL")]
     rest = stage.where("ids IS NOT NULL")
     parts = (stage.agg(F.max("part")).first()[0] or 0) + 1

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelgauge.llm import embedding_dedup, html_extract, jaccard_join, line_dedup, mixing, packing, quality, suffix_dedup, token_store, tokens, warc
+from panelgauge.llm.common import tidy
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau Upsilon phi, chi. psi! omega été Straße 12".split()
 
@@ -450,6 +451,15 @@ def test_flow_is_of_least_cost():
         assert (sum(used.values()), cost) == pytest.approx(least_cost(patterns, targets, 3), abs=1e-5)
 
 
+def test_packing_task_leaves_no_cache(monkeypatch):
+    monkeypatch.setattr(packing, "_first_id", lambda level: level << 56)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words here", None])], names=["doc_id", "text"])
+    run = packing._pack(tokens.default_vocabulary(), 1, 2048, 16, 300_000)
+    plain = pa.Table.from_batches(run(iter([batch])))
+    assert tokens._open
+    assert pa.Table.from_batches(tidy(run)(iter([batch]))).equals(plain) and not tokens._open
+
+
 # ------------------------------------------------- quality
 
 
